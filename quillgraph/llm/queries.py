@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from quillgraph.llm import decontaminate, quality, secrets, sharding
+from quillgraph.llm import decontaminate, neardup, quality, secrets, sharding
 
-_MODULES = (secrets, quality, sharding, decontaminate)
+_MODULES = (secrets, quality, sharding, decontaminate, neardup)
 QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 SQL = {k: s for m in _MODULES for k, s in m.SQL.items()}
