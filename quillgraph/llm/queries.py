@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from quillgraph.llm import decontaminate, neardup, quality, secrets, sharding, sstable
+from quillgraph.llm import decontaminate, langid, neardup, quality, secrets, sharding, sstable
 
-_MODULES = (secrets, quality, sharding, decontaminate, neardup, sstable)
+_MODULES = (secrets, quality, sharding, decontaminate, neardup, sstable, langid)
 QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 SQL = {k: s for m in _MODULES for k, s in m.SQL.items()}
