@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from quillgraph.llm import decontaminate, langid, neardup, quality, secrets, sharding, sstable, toxicity
+from quillgraph.llm import decontaminate, langid, lm, neardup, quality, secrets, sharding, sstable, toxicity
 
-_MODULES = (secrets, quality, sharding, decontaminate, neardup, sstable, langid, toxicity)
+_MODULES = (secrets, quality, sharding, decontaminate, neardup, sstable, langid, toxicity, lm)
 QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 SQL = {k: s for m in _MODULES for k, s in m.SQL.items()}
