@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from quillgraph.llm import decontaminate, langid, lm, neardup, quality, secrets, sharding, sstable, toxicity
+import corpus_pipeline
+from quillgraph.llm import decontaminate, langid, lm, mixing, neardup, quality, secrets, sharding, sstable, toxicity
 
-_MODULES = (secrets, quality, sharding, decontaminate, neardup, sstable, langid, toxicity, lm)
-QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
+_MODULES = (secrets, quality, sharding, decontaminate, neardup, sstable, langid, toxicity, lm, mixing)
+QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()} | {"pipeline": corpus_pipeline.run}
 SQL = {k: s for m in _MODULES for k, s in m.SQL.items()}
