@@ -3,18 +3,19 @@
 A document's set is its distinct word shingles, hashed once to 64 bits; its sketch is the ``SKETCH`` least hashes.
 
 1. Documents with equal sets form one class; only its least identifier goes on, so copies never meet as pairs.
-2. Inverted lists of the ``LISTED`` least values give overlaps. A list of at most ``LIST_ROWS`` classes yields its pairs,
-   those alone that agree on three listed values. A longer list says too little: its members are listed anew under
-   every pair of their values with long lists, which only texts with both share.
-3. A list that is long even then is searched in blocks inside tasks. First each member joins a pivot of like sketch,
-   so that a large group of near copies costs one candidate a member; once these links are confirmed, members still in
-   different components are compared all with all.
-4. The union sketch of a pair estimates its similarity; pairs clearly below the threshold go.
+2. Inverted lists of retained values give overlaps. Values that more than ``LIST_ROWS`` classes retain say too little, as
+   common word pairs and shared passages do, and are set aside: each class is listed under its ``LISTED`` least others, so
+   every list is short, and pairs in it must agree on a third of these.
+3. Classes left with few values of their own, as members of large groups of near copies are, are listed instead under
+   pairs of neighbouring sketch values. Such a list is searched in blocks inside tasks, on full sets, breadth first from
+   member to member; it yields the links of a spanning forest, never all pairs.
+4. The union sketch of a listed pair estimates its similarity; pairs clearly below the threshold go.
 5. The others are confirmed on their full sets, read again from the text of the documents concerned.
 6. Confirmed links make components.
 
-A pair at the threshold is missed only if its sketches agree on fewer than three of twelve values or fall 4.5 standard
-deviations short in the estimate (together under one in 10,000 at the threshold itself, and fewer above).
+What a sketch leaves out is a matter of chance that the sizes here keep small: a pair right at the threshold is missed
+if its twelve values agree on fewer than four, or its estimate falls 4.5 standard deviations short, or no two
+neighbouring values of sixteen are shared; together about one in 10,000, and far fewer above the threshold.
 
 Defined cases: null and empty text, or text without words, has an empty set, links with nothing and stays; a row
 without doc_id can't be named as a component, links with nothing and stays; rows with the same doc_id are one node.
@@ -27,7 +28,8 @@ import hashlib
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillgraph.llm import bloom
@@ -36,9 +38,13 @@ from quillgraph.llm.components import components
 from quillgraph.llm.text import Words, mix, pairs, slices
 
 SKETCH = 32
+#: Sketch values that may be listed, and how many of them are.
+POOL = 24
 LISTED = 12
 LIST_ROWS = 32
-AGREE = 3
+#: Fewer values of its own than this, and than half its sketch, make a class one of the dense ones.
+OWN = 8
+NEIGHBOURS = 15
 BLOCK = 1024
 
 
@@ -83,65 +89,89 @@ def sketches(docs: DataFrame, size: int, k: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(scan, "doc_id long, n_shingles long, set_key binary, sketch array<long>")
 
 
-def _pairs_of_lists(rows: DataFrame, key: str, percent: int) -> DataFrame:
+def _marked(classes: DataFrame, common: bloom.Bloom, repeated: bloom.Bloom) -> DataFrame:
+    """Each class with its own values (few), those of them that may be repeated (keys), and its sketch if it is dense."""
+    held = classes.sparkSession.sparkContext.broadcast((common, repeated))
+
+    def mark(batches):
+        common, repeated = held.value
+        for batch in batches:
+            sketch = batch.column(2)
+            values = sketch.flatten().to_numpy(zero_copy_only=False)
+            size = pc.list_value_length(sketch).to_numpy(zero_copy_only=False).astype(np.int64)
+            first = np.cumsum(size) - size
+            owner = np.repeat(np.arange(len(size)), size)
+            at = np.arange(len(values)) - first[owner]
+            own = (at < POOL) & ~common.holds(values)
+            rank = np.cumsum(own) - own
+            rank = rank - rank[first[owner]] if len(values) else rank
+            few = own & (rank < LISTED)
+            n_own = np.bincount(owner[few], minlength=len(size))
+            dense = (n_own < OWN) & (2 * n_own < np.minimum(size, POOL))
+            keys = few & repeated.holds(values)
+            lists = lambda chosen, kind, of: pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(np.bincount(owner[chosen], minlength=len(size)))), pa.int32()), pa.array(of[chosen], kind))
+            short = (values & 0x7FFFFFFF).astype(np.int32)
+            kept = pc.if_else(pa.array(dense), sketch, pa.scalar(None, sketch.type))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists(few, pa.int32(), short), lists(keys, pa.int64(), values), kept], ["rep", "n", "few", "keys", "sketch"])
+
+    return classes.select("rep", "n", "sketch").mapInArrow(mark, "rep long, n long, few array<int>, keys array<long>, sketch array<long>")
+
+
+def _pairs_of_lists(rows: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) within each list of rows (key, rep, n, few) that may reach the threshold; lists are short."""
-    lists = rows.groupBy(key).agg(F.collect_list(F.struct("rep", "n", "few")).alias("m"))
-    return lists.select(
-        F.explode(
-            F.expr(
-                f"""flatten(transform(m, (x, i) -> transform(filter(slice(m, i + 2, size(m)), y -> x.rep != y.rep AND 100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)
-                AND size(array_intersect(x.few, y.few)) >= {AGREE}), y -> struct(least(x.rep, y.rep) AS a, greatest(x.rep, y.rep) AS b))))"""
-            )
-        ).alias("p")
-    ).select("p.*")
+    lists = rows.groupBy("key").agg(F.collect_list(F.struct("rep", "n", "few")).alias("m")).where("size(m) > 1")
+    agree = "size(array_intersect(x.few, y.few)) >= greatest(1, CAST(least(size(x.few), size(y.few)) / 3 AS INT))"
+    pairs_of = f"""flatten(transform(m, (x, i) -> transform(filter(slice(m, i + 2, size(m)), y -> x.rep != y.rep
+        AND 100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n) AND {agree}), y -> struct(least(x.rep, y.rep) AS a, greatest(x.rep, y.rep) AS b))))"""
+    return lists.select(F.explode(F.expr(pairs_of)).alias("p")).select("p.*")
+
+
+def linked(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Links of a spanning forest of the sets, each pair of it at the threshold: breadth first, against those not yet reached."""
+    size = np.array([len(x) for x in sets])
+    _, value = np.unique(np.concatenate(sets), return_inverse=True) if sets else (None, np.zeros(0, np.int64))
+    first = np.concatenate([[0], np.cumsum(size)])
+    left = np.arange(len(sets))
+    out: list[tuple[int, int]] = []
+    flag = np.zeros(int(value.max()) + 1 if len(value) else 0, bool)
+    flat, start = value, first[:-1]  # of those not yet reached
+    while len(left):
+        queue, left, flat, start = [int(left[0])], *_without(left, flat, start, np.arange(len(left)) == 0)
+        while queue and len(left):
+            i = queue.pop()
+            flag[value[first[i] : first[i + 1]]] = True
+            common = np.add.reduceat(flag[flat].astype(np.int64), start)
+            flag[value[first[i] : first[i + 1]]] = False
+            hit = 100 * common >= percent * (size[i] + size[left] - common)
+            if hit.any():
+                found = left[hit].tolist()
+                out += [(i, j) for j in found]
+                queue += found
+                left, flat, start = _without(left, flat, start, hit)
+    return out
+
+
+def _without(left: np.ndarray, flat: np.ndarray, start: np.ndarray, gone: np.ndarray):
+    """What is left of the sets (none empty) and of their values, laid end to end."""
+    sizes = np.diff(np.append(start, len(flat)))
+    flat, sizes = flat[np.repeat(~gone, sizes)], sizes[~gone]
+    return left[~gone], flat, np.cumsum(sizes) - sizes
 
 
-def _in_blocks(rows: DataFrame, percent: int, cross: bool) -> DataFrame:
-    """Candidates (a, b) of long lists: rows (key, total, rep, n, sketch, comp), dealt by pairs of blocks."""
+def _dense_links(rows: DataFrame, full: DataFrame, percent: int) -> DataFrame:
+    """Confirmed links (a, b) in the lists of rows (key, total, rep), dealt by pairs of blocks of at most about BLOCK members."""
     parts = F.ceil(F.col("total") / BLOCK).cast("long")
     rows = rows.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")))
-    if cross:
-        rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-        rows = rows.withColumn("p", F.least("part", "other")).withColumn("q", F.greatest("part", "other"))
-    else:
-        rows = rows.withColumn("p", F.col("part")).withColumn("q", F.col("part"))
-    least_share = 0.45
+    other = F.explode(F.filter(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda x: (x != F.col("part")) | (F.col("parts") == 1)))
+    rows = rows.withColumn("other", other).select("key", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "rep")
 
     def search(group: pd.DataFrame) -> pd.DataFrame:
         group = group.drop_duplicates("rep").sort_values("rep", ignore_index=True)
-        rep, n, comp = group["rep"].to_numpy(), group["n"].to_numpy(), group["comp"].to_numpy()
-        sizes = group["sketch"].map(len).to_numpy()
-        _, value = np.unique(np.concatenate(group["sketch"].to_list()), return_inverse=True)
-        owner = np.repeat(np.arange(len(rep)), sizes)
-        incidence = np.zeros((len(rep), value.max() + 1), np.float32)
-        incidence[owner, value] = 1
-        found: list[tuple[np.ndarray, np.ndarray]] = []
-
-        def like(i: int, among: np.ndarray) -> np.ndarray:
-            among = among[100 * np.minimum(n[among], n[i]) >= percent * np.maximum(n[among], n[i])]
-            return among[incidence[among] @ incidence[i] >= least_share * np.minimum(sizes[among], sizes[i])]
-
-        if cross:
-            ids, counts = np.unique(comp, return_counts=True)
-            main = ids[np.argmax(counts)]
-            part = group["part"].to_numpy()
-            between = group["p"].iat[0] != group["q"].iat[0]
-            for i in np.flatnonzero(comp != main):
-                among = np.flatnonzero((comp != comp[i]) & ((comp == main) | (rep > rep[i])) & ((part != part[i]) if between else True))
-                hit = like(i, among)
-                found.append((np.full(len(hit), rep[i]), rep[hit]))
-        else:
-            left = np.arange(len(rep))
-            while len(left) > 1:
-                i, left = left[0], left[1:]
-                hit = like(i, left)
-                found.append((np.full(len(hit), rep[i]), rep[hit]))
-                left = np.setdiff1d(left, hit, assume_unique=True)
-        a = np.concatenate([x for x, _ in found]) if found else np.zeros(0, np.int64)
-        b = np.concatenate([x for _, x in found]) if found else np.zeros(0, np.int64)
-        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+        rep = group["rep"].to_numpy()
+        found = np.array(linked(group["full"].to_list(), percent), np.int64).reshape(-1, 2)
+        return pd.DataFrame({"a": rep[found].min(axis=1), "b": rep[found].max(axis=1)})
 
-    return rows.groupBy("key", "p", "q").applyInPandas(search, "a long, b long")
+    return rows.join(full, "rep").groupBy("key", "p", "q").applyInPandas(search, "a long, b long").distinct()
 
 
 def _estimated(candidates: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame:
@@ -154,9 +184,8 @@ def _estimated(candidates: DataFrame, classes: DataFrame, k: int, percent: int)
     return both.where(F.expr(estimate.replace("array_sort(", "sort_array("))).select("a", "b", "n_a", "n_b")
 
 
-def _verified(candidates: DataFrame, docs: DataFrame, size: int, percent: int, scratch: Scratch) -> DataFrame:
-    """Candidates (a, b) whose full sets reach the threshold; sets come from the documents that are named."""
-    named = scratch.keep(candidates.select(F.explode(F.array("a", "b")).alias("rep")).distinct())
+def _full_sets(named: DataFrame, docs: DataFrame, size: int) -> DataFrame:
+    """(rep, full): the sets of the documents named (rep), read from their text; others are passed over by a Bloom filter."""
     held = docs.sparkSession.sparkContext.broadcast(bloom.build(named, "rep", named.count()))
 
     def scan(batches):
@@ -165,13 +194,17 @@ def _verified(candidates: DataFrame, docs: DataFrame, size: int, percent: int, s
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets_of(batch.column(1), size), pa.list_(pa.int64()))], ["rep", "full"])
 
     found = docs.select(F.col("doc_id").cast("long"), "text").where("doc_id IS NOT NULL").mapInArrow(scan, "rep long, full array<long>")
-    full = scratch.keep(found.join(named, "rep", "left_semi"))
+    return found.join(named, "rep", "left_semi").where("size(full) > 0")
+
+
+def _verified(candidates: DataFrame, full: DataFrame, percent: int) -> DataFrame:
+    """Candidates (a, b) whose full sets reach the threshold."""
     both = candidates.join(full.select(F.col("rep").alias("a"), F.col("full").alias("f_a")), "a").join(full.select(F.col("rep").alias("b"), F.col("full").alias("f_b")), "b")
     common = both.select("a", "b", (F.size("f_a") + F.size("f_b")).alias("total"), F.size(F.array_intersect("f_a", "f_b")).alias("common"))
     return common.where(f"100 * common >= {percent} * (total - common)").select("a", "b").distinct()
 
 
-def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, k: int = SKETCH, listed: int = LISTED, scratch: Scratch | None = None) -> DataFrame:
+def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, k: int = SKETCH, scratch: Scratch | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for each row of ``docs`` (doc_id, text): groups of texts whose sets of
     ``size``-word shingles are linked at ``percent`` per cent or more."""
     spark = docs.sparkSession
@@ -180,32 +213,25 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, k: int =
     named = base.where("doc_id IS NOT NULL AND set_key IS NOT NULL")
     classes = scratch.keep(named.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")))
 
-    rows = classes.where("n >= 4").select("rep", "n", F.expr(f"transform(slice(sketch, 1, {listed}), x -> CAST(pmod(x, 2147483647L) AS INT))").alias("few"), F.explode(F.slice("sketch", 1, listed)).alias("key"))
-    counts = rows.groupBy("key").agg(F.count("*").alias("total")).where("total > 1")
-    lists = scratch.keep(rows.join(counts, "key"))
-    few = _pairs_of_lists(lists.where(f"total <= {LIST_ROWS}"), "key", percent)
-    hot = lists.where(f"total > {LIST_ROWS}").groupBy("rep").agg(F.first("n").alias("n"), F.first("few").alias("few"), F.array_sort(F.collect_set("key")).alias("h")).where("size(h) > 1")
-    twos = hot.select("rep", "n", "few", F.explode(F.expr("flatten(transform(h, (x, i) -> transform(slice(h, i + 2, size(h)), y -> xxhash64(x, y))))")).alias("key"))
-    twos = scratch.keep(twos)
-    counts2 = twos.groupBy("key").agg(F.count("*").alias("total")).where("total > 1")
-    lists2 = scratch.keep(twos.join(counts2, "key"))
-    few2 = _pairs_of_lists(lists2.where(f"total <= {LIST_ROWS}"), "key", percent)
-    sketch = classes.select("rep", "sketch")
-    long = lists2.where(f"total > {LIST_ROWS}").select("key", "total", "rep", "n")
-    dense = scratch.keep(long.join(sketch, "rep"))
-    stars = _in_blocks(dense.withColumn("comp", F.col("rep")), percent, cross=False)
-
-    tried = scratch.keep(few.union(few2).union(stars).distinct())
-    links = scratch.keep(_verified(scratch.keep(_estimated(tried, classes, k, percent).select("a", "b")), docs, size, percent, scratch))
-    found = scratch.keep(components(links, scratch))
-    if dense.limit(1).count():
-        comp = dense.join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep")).drop("component")
-        split = comp.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x != y").select("key")
-        more = scratch.keep(_in_blocks(comp.join(split, "key"), percent, cross=True).distinct().join(tried, ["a", "b"], "left_anti"))
-        rest = scratch.keep(_estimated(more, classes, k, percent).select("a", "b"))
-        if rest.limit(1).count():
-            links = links.union(_verified(rest, docs, size, percent, scratch))
-            found = scratch.keep(components(links, scratch))
+    large = classes.where(f"n >= {-(-percent // max(1, 100 - percent))}")  # smaller sets have no other set near enough
+    values = large.select(F.explode(F.slice("sketch", 1, POOL)).alias("value")).groupBy("value").agg(F.count("*").alias("c")).where("c > 1")
+    values = scratch.keep(values)
+    n_common, n_repeated = values.agg(F.count_if(F.col("c") > LIST_ROWS), F.count_if(F.col("c") <= LIST_ROWS)).first()
+    common = bloom.build(values.where(f"c > {LIST_ROWS}"), "value", n_common)
+    repeated = bloom.build(values.where(f"c <= {LIST_ROWS}"), "value", n_repeated)
+    marked = scratch.keep(_marked(large, common, repeated))
+    listed = scratch.keep(_pairs_of_lists(marked.select("rep", "n", "few", F.explode("keys").alias("key")), percent).distinct())
+    likely = scratch.keep(_estimated(listed, classes, k, percent).select("a", "b"))
+
+    twos = F.expr(f"transform(sequence(1, least({NEIGHBOURS}, size(sketch) - 1)), i -> xxhash64(sketch[i - 1], sketch[i]))")
+    dense = marked.where("size(sketch) > 1").select("rep", F.explode(twos).alias("key"))
+    counts = dense.groupBy("key").agg(F.count("*").alias("total")).where("total > 1")
+    dense = scratch.keep(dense.join(counts, "key"))
+
+    wanted = scratch.keep(likely.select(F.explode(F.array("a", "b")).alias("rep")).union(dense.select("rep")).distinct())
+    full = scratch.keep(_full_sets(wanted, docs, size))
+    links = scratch.keep(_verified(likely, full, percent).union(_dense_links(dense, full, percent)))
+    found = components(links, scratch)
     reps = classes.select("set_key", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("set_key", F.coalesce("component", "rep").alias("component"))
     out = base.select("doc_id", "n_shingles", "set_key").join(reps, "set_key", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
@@ -217,8 +243,6 @@ def drop_near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> D
     gone = near_duplicates(docs, size, percent).where("NOT kept").select(F.col("doc_id").alias("_k"), F.lit(False).alias("_null")).distinct()
     rows = docs.withColumn("_null", F.col("doc_id").isNull()).withColumn("_k", F.coalesce(F.col("doc_id").cast("long"), F.monotonically_increasing_id()))
     rest = rows.join(gone, ["_k", "_null"], "left_anti")
-    from pyspark.sql import Window
-
     first = F.row_number().over(Window.partitionBy("_k", "_null").orderBy(F.xxhash64("text")))
     return rest.withColumn("_n", first).where("_n = 1").select(*docs.columns)
 
