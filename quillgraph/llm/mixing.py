@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import Scratch, table
+from quillgraph.llm.common import Scratch, fresh, own, table
 from quillgraph.llm.quality import _SQL_WORDS, WORDS
 
 ROUNDS = 40
@@ -88,9 +88,10 @@ def mixed(docs: DataFrame, targets: dict[str, dict[str, float]] = TARGETS, topic
     """The rows of ``docs``, all columns, that the sample takes; the text is read twice and not shuffled."""
     cells = _cells(docs, targets, topic)
     p = probabilities(docs.select(*cells, _tokens().alias("n_tokens")), targets, budget)
-    p = p.select("_source", "_lang", "_topic", F.col("probability").alias("_p"))
-    rows = docs.select("*", *cells).join(F.broadcast(p), ["_source", "_lang", "_topic"])  # a row per cell: at most MAX_CELLS
-    return rows.where(_unit(seed) < F.col("_p")).select(*docs.columns)
+    cell, chance = fresh(docs, "_cell", "_chance")
+    p = p.select(F.struct("_source", "_lang", "_topic").alias(cell), F.col("probability").alias(chance))
+    rows = docs.select(*own(docs), F.struct(*cells).alias(cell)).join(F.broadcast(p), cell)  # a row per cell: at most MAX_CELLS
+    return rows.where(_unit(seed) < F.col(chance)).select(*own(docs))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillgraph.llm import bloom
-from quillgraph.llm.common import Scratch, table
+from quillgraph.llm.common import Scratch, fresh, own, table
 from quillgraph.llm.components import components
 from quillgraph.llm.text import Words, mix, pairs, slices
 
@@ -240,11 +240,12 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, k: int =
 
 def drop_near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs``, all columns, with one row of each group: its least doc_id, once."""
-    gone = near_duplicates(docs, size, percent).where("NOT kept").select(F.col("doc_id").alias("_k"), F.lit(False).alias("_null")).distinct()
-    rows = docs.withColumn("_null", F.col("doc_id").isNull()).withColumn("_k", F.coalesce(F.col("doc_id").cast("long"), F.monotonically_increasing_id()))
-    rest = rows.join(gone, ["_k", "_null"], "left_anti")
-    first = F.row_number().over(Window.partitionBy("_k", "_null").orderBy(F.xxhash64("text")))
-    return rest.withColumn("_n", first).where("_n = 1").select(*docs.columns)
+    key, null, number = fresh(docs, "_key", "_null", "_number")
+    gone = near_duplicates(docs.select("doc_id", "text"), size, percent).where("NOT kept").select(F.col("doc_id").alias(key), F.lit(False).alias(null)).distinct()
+    rows = docs.withColumn(null, F.col("doc_id").isNull()).withColumn(key, F.coalesce(F.col("doc_id").cast("long"), F.monotonically_increasing_id()))
+    rest = rows.join(gone, [key, null], "left_anti")
+    first = F.row_number().over(Window.partitionBy(key, null).orderBy(F.xxhash64("text")))
+    return rest.withColumn(number, first).where(F.col(number) == 1).select(*own(docs))
 
 
 def neardup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

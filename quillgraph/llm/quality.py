@@ -18,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import table
+from quillgraph.llm.common import fresh, table
 
 #: Bound of the sample on which costs and selectivities are estimated.
 SAMPLE_ROWS = 2000
@@ -109,7 +109,7 @@ def apply_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "t
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that no rule rejects."""
-    reason = "_quality_reason"
+    (reason,) = fresh(docs, "_reason")
     return apply_rules(docs, reason=reason).where(F.col(reason).isNull()).drop(reason)
 
 

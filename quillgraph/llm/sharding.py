@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from quillgraph.llm.common import table
+from quillgraph.llm.common import fresh, own, table
 
 SHARDS = 24
 #: Rows of a block, unless there would be more than MAX_BLOCKS blocks.
@@ -61,8 +61,10 @@ def shard_rows(docs: DataFrame, shards: int = SHARDS, seed: int = 17) -> DataFra
         counts[p] = n
     sizes, first = block_sizes(int(counts.sum()), shards)
     per = len(sizes) // shards
+    docs = docs.select(*[c for c, name in zip(own(docs), docs.columns, strict=True) if name.lower() not in ("shard", "slot")])  # those of before give way
+    block, came, place = fresh(docs, "_block", "_from", "_place")
     plan = spark.sparkContext.broadcast((counts, sizes))
-    schema = StructType([*docs.schema.fields, StructField("_block", LongType()), StructField("_from", LongType()), StructField("_place", LongType())])
+    schema = StructType([*docs.schema.fields, *(StructField(c, LongType()) for c in (block, came, place))])
 
     def deal(batches):
         counts, sizes = plan.value
@@ -79,23 +81,23 @@ def shard_rows(docs: DataFrame, shards: int = SHARDS, seed: int = 17) -> DataFra
             at += n
 
     def _arrow(schema: pa.Schema) -> pa.Schema:
-        return pa.schema([*schema, *(pa.field(c, pa.int64()) for c in ("_block", "_from", "_place"))])
+        return pa.schema([*schema, *(pa.field(c, pa.int64()) for c in (block, came, place))])
 
     dealt = docs.mapInArrow(deal, schema)
-    within = Window.partitionBy("_block").orderBy(F.xxhash64(F.lit(seed), "_from", "_place"), "_from", "_place")
-    starts = F.element_at(F.array(*[F.lit(int(x)) for x in first[:per]]), (F.col("_block") % per + 1).cast("int")) if per * shards == len(first) and len(set(map(tuple, first.reshape(shards, per).tolist()))) == 1 else None
+    within = Window.partitionBy(block).orderBy(F.xxhash64(F.lit(seed), came, place), came, place)
+    starts = F.element_at(F.array(*[F.lit(int(x)) for x in first[:per]]), (F.col(block) % per + 1).cast("int")) if per * shards == len(first) and len(set(map(tuple, first.reshape(shards, per).tolist()))) == 1 else None
     if starts is None:  # shards of two sizes: the larger ones come first
         big, small = first[:per], first[-per:]
         n_big = next((s for s in range(shards) if first[s * per : s * per + per].tolist() != big.tolist()), shards)
-        pick = lambda xs: F.element_at(F.array(*[F.lit(int(x)) for x in xs]), (F.col("_block") % per + 1).cast("int"))
-        starts = F.when(F.col("_block") < n_big * per, pick(big)).otherwise(pick(small))
+        pick = lambda xs: F.element_at(F.array(*[F.lit(int(x)) for x in xs]), (F.col(block) % per + 1).cast("int"))
+        starts = F.when(F.col(block) < n_big * per, pick(big)).otherwise(pick(small))
     slot = (F.row_number().over(within) - 1 + starts).cast("long")
-    return dealt.withColumn("slot", slot).withColumn("shard", F.floor(F.col("_block") / per).cast("int")).drop("_block", "_from", "_place")
+    return dealt.withColumn("slot", slot).withColumn("shard", F.floor(F.col(block) / per).cast("int")).drop(block, came, place)
 
 
 def sharding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents with their shard and slot."""
-    return shard_rows(docs.drop("shard", "slot"))
+    return shard_rows(docs)
 
 
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
