@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import base64
 import binascii
+import bisect
 import hashlib
 import json
 import re
@@ -36,10 +37,10 @@ _ASSIGN = re.compile(r"""(?i:(?:password|passwd|secret|token|api_?key))["']?\x20
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 _JWT = re.compile(r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]{5,})\.([A-Za-z0-9_-]{2,})\.([A-Za-z0-9_-]*)")
-_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{0,40}PRIVATE KEY)-----([A-Za-z0-9+/=\s:,-]+?)-----END \1-----", re.ASCII)
-_RUN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{32,}={0,2}")
+_BEGIN = re.compile(r"-----BEGIN ([A-Z0-9 ]{0,40}PRIVATE KEY)-----")
+_ARMOUR = re.compile(r"[A-Za-z0-9+/=\s:,\\-]+", re.ASCII)
+_RUN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{32,}={0,2}")
 _ANYHEX = re.compile(r"(?:[0-9a-fA-F]{2}){16,}")
-_HINTS = ("AKIA", "eyJ", "-----BEGIN")
 SCHEMA = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_structural long"
 
 
@@ -113,6 +114,16 @@ def _object(part: str) -> dict | None:
     return x if isinstance(x, dict) else None
 
 
+def _armoured(text: str):
+    """Start, end and body of each armoured block; one ends before the next begins, so the text is read once."""
+    heads = list(_BEGIN.finditer(text))
+    for m, after in zip(heads, [*heads[1:], None], strict=True):
+        mark = f"-----END {m[1]}-----"
+        end = text.find(mark, m.end(), after.start() if after else len(text))
+        if end >= 0 and _ARMOUR.fullmatch(text, m.end(), end):
+            yield m.start(), end + len(mark), text[m.end() : end].replace("\\n", "\n")
+
+
 def base_spans(text: str) -> list[tuple[int, int, str]]:
     """Start, end and kind of the pattern matches."""
     out = [(m.start(), m.end(), "assign") for m in _ASSIGN.finditer(text) if m.end(1) - m.start(1) >= 6]
@@ -130,14 +141,17 @@ def structural_spans(text: str, depth: int = 0) -> list[tuple[int, int, str]]:
             if head and isinstance(head.get("alg"), str) and _object(m[2]) is not None and (not m[3] or _unbase64(m[3])):
                 out.append((m.start(), m.end(), "jwt"))
     if "-----BEGIN" in text:
-        for m in _PEM.finditer(text):
-            body = "".join(x for x in m[2].split("\n") if ":" not in x)
+        for start, end, armour in _armoured(text):
+            body = "".join(x for x in armour.split("\n") if ":" not in x)
             data = _unbase64("".join(body.split()))
-            if data and (is_key(data) or "DEK-Info" in m[2] and len(data) % 8 == 0):
-                out.append((m.start(), m.end(), "pem"))
+            if data and (is_key(data) or "DEK-Info" in armour and len(data) % 8 == 0):
+                out.append((start, end, "pem"))
     for pattern, decode in ((_RUN, _unbase64), (_ANYHEX, bytes.fromhex)):
+        taken = sorted(out)  # they don't overlap, nor do the matches of one pattern
+        starts = [s for s, _, _ in taken]
         for m in pattern.finditer(text):
-            if any(s < m.end() and m.start() < e for s, e, _ in out) or not (data := decode(m[0])):
+            before = bisect.bisect_left(starts, m.end()) - 1
+            if before >= 0 and taken[before][1] > m.start() or not (data := decode(m[0])):
                 continue
             if is_key(data):
                 out.append((m.start(), m.end(), "key"))

@@ -9,7 +9,7 @@ import re
 import numpy as np
 import pyarrow as pa
 import pytest
-from hypothesis import given, settings
+from hypothesis import example, given, settings
 from hypothesis import strategies as st
 
 from quillgraph.llm import decontaminate, langid, neardup, quality, secrets, sharding, sstable, toxicity
@@ -58,6 +58,7 @@ def test_structural_spans_need_structure():
     assert kinds(f"a {key} b") == ["key"] and kinds(f"a {RSA.hex()} b") == ["key"]
     assert kinds(f"see {jwt} there") == ["jwt"] and kinds(pem) == ["pem"]
     assert kinds(base64.b64encode(f"config: {jwt}".encode()).decode()) == ["nested"]
+    assert kinds(f"key={key}") == ["key"] and kinds(pem.replace("\n", "\\n")) == ["pem"] and kinds(pem[:-9] + pem) == ["key", "pem"][::-1]
     assert not kinds(key[:-8]) and not kinds("A" * 64) and not kinds(jwt.replace("eyJ", "eyK")) and not kinds("x" * 100_000)
     assert not secrets.is_key(RSA + b"\0") and not secrets.is_key(b"") and not secrets.is_key(b"\x30\x84")
 
@@ -165,6 +166,7 @@ def brute_windows(docs, items, size=13):
 
 
 @settings(max_examples=60, deadline=None)
+@example([], ["", "a a a"])
 @given(st.lists(st.one_of(st.none(), st.text(alphabet="ab c.", max_size=40)), max_size=5), st.lists(st.text(alphabet="ab c", max_size=16), max_size=4))
 def test_decontamination_matches_brute_force(docs, texts):
     items = [(str(i % 3), t) for i, t in enumerate(texts)]
