@@ -52,7 +52,7 @@ class Block:
         words = Words(pa.array([text for _, text in items], pa.string()), ALNUM)
         self.vocabulary = np.unique(words.hash)
         ids = _member(words.hash, self.vocabulary) + 1
-        two = np.concatenate([pairs(words.hash[a : b - 1], words.hash[a + 1 : b]) for a, b in zip(words.first, words.first[1:], strict=False)]) if items else np.zeros(0, np.uint64)
+        two = np.concatenate([pairs(words.hash[a : max(a, b - 1)], words.hash[a + 1 : b]) for a, b in zip(words.first, words.first[1:], strict=False)]) if items else np.zeros(0, np.uint64)
         self.pairs = np.unique(two)
         spans: dict[int, list[tuple[int, int, int]]] = {}
         for item, (a, b) in enumerate(zip(words.first, words.first[1:], strict=False)):
