@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quillgraph.functions.columns import field_text
 from quillgraph.model import LISTS, REF, Graph
 from quillgraph.operators.walks import dependents
+from quillgraph.plans.resolve import BY_ID, candidates_of
 
 #: Fields compared one by one; status and path have streams of their own.
 FIELDS = ("title", "kind", "created", "updated", "reviewed", "owner", "superseded_by", "orphan_ok")
@@ -97,14 +98,34 @@ class Delta:
         return out.distinct()
 
 
+def dangling(after: Graph, gone: DataFrame, relations=()) -> DataFrame:
+    """root and id: documents of ``after`` whose unresolved references still seek what is gone (id, path), by id or by path."""
+    rows = after.edges.where("target_id IS NULL")
+    if relations:
+        rows = rows.where(F.col("relation").isin(*relations))
+    rows = rows.join(after.nodes.select(F.col("id").alias("source"), F.col("path").alias("source_path")), "source")
+    rows = candidates_of(rows, after.settings.extensions)
+    by_path = rows.where(~F.col("relation").isin(*BY_ID)).select("source", F.explode("sought").alias("path")).join(gone.select("path", F.col("id").alias("root")), "path")
+    by_id = rows.where("relation <> 'covers'").join(gone.select(F.col("id").alias("root")), F.col("target_raw") == F.col("root"))
+    return by_path.select("root", F.col("source").alias("id")).union(by_id.select("root", F.col("source").alias("id"))).distinct()
+
+
 def impact(delta: Delta, max_depth: int | None = None, relations=()) -> DataFrame:
-    """root, change, id and hops: documents that depend on one that was removed, moved or modified."""
+    """root, change, id, hops and breaking: documents that depend on one that was modified or moved, or that still refer to
+    where one was before it was removed or moved; the latter references dangle, which is breaking."""
     changed = delta.touched().join(delta.added_nodes().select("id"), "id", "left_anti")
-    removed = delta.removed_nodes().select("id", F.lit("removed").alias("change"))
-    moved = delta.path_changes().select("id", F.lit("moved").alias("change"))
-    kind = changed.join(removed, "id", "left").join(moved.withColumnRenamed("change", "m"), "id", "left").select("id", F.coalesce("change", "m", F.lit("modified")).alias("change"))
-    gone = delta.before.external.join(removed.select(F.col("id").alias("target_id")), "target_id").join(delta.after.nodes.select(F.col("id").alias("source")), "source", "left_semi")
-    dangling = gone.select(F.col("target_id").alias("root"), F.lit("removed").alias("change"), F.col("source").alias("id"), F.lit(1).alias("hops")).distinct()
-    live = kind.where("change <> 'removed'")
-    reach = dependents(delta.after, live.select(F.col("id").alias("root")), max_depth, relations)
-    return dangling.union(reach.join(live.withColumnRenamed("id", "root"), "root").select("root", "change", "id", "hops"))
+    removed = delta.removed_nodes().select("id", "path", F.lit("removed").alias("change"))
+    moved = delta.path_changes().select("id", F.col("before").alias("path"), F.lit("moved").alias("change"))
+    gone = removed.union(moved)
+    loose = dangling(delta.after, gone, relations).join(gone.select(F.col("id").alias("root"), "change"), "root")
+    loose = loose.select("root", "change", "id", F.lit(1).alias("hops"), F.lit(True).alias("breaking"))
+    live = changed.join(removed.select("id"), "id", "left_anti").join(moved.select("id", F.col("change").alias("m")), "id", "left").select(F.col("id").alias("root"), F.coalesce("m", F.lit("modified")).alias("change"))
+    reach = dependents(delta.after, live.select("root"), max_depth, relations).join(live, "root").select("root", "change", "id", "hops", F.lit(False).alias("breaking"))
+    # A document that is bound and stranded at once is listed under the reference that still binds it; the other breaks all the same.
+    both = reach.unionByName(loose).groupBy("root", "change", "id")
+    return both.agg(F.coalesce(F.min(F.when(~F.col("breaking"), F.col("hops"))), F.lit(1)).alias("hops"), F.max("breaking").alias("breaking"))
+
+
+def likely_breaking(found: DataFrame) -> DataFrame:
+    """Roots of an ``impact`` to which a reference dangles."""
+    return found.where("breaking").select(F.col("root").alias("id")).distinct().orderBy("id")

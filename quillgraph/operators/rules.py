@@ -23,11 +23,12 @@ FINDING = ("rule_id", "severity", "node_id", "path", "details")
 
 @dataclass(frozen=True)
 class Outcome:
-    """Findings, subjects (one row n), and the part of the subjects that couldn't be judged (one row n)."""
+    """Findings, subjects (one row n), the reason why the rule declined, and those that couldn't be judged (one row n)."""
 
     findings: DataFrame
     subjects: DataFrame
     skipped: str | None = None
+    unjudged: DataFrame | None = None
 
 
 def _details(**parts: Column) -> Column:
@@ -152,8 +153,15 @@ def orphan(g: Graph) -> Outcome:
 
 
 def git_drift(g: Graph) -> Outcome:
-    rows = drift(g).join(g.nodes.select("id", "path"), "id")
-    return Outcome(_found(rows.where(F.col("commits") > g.settings.drift_threshold), "git_drift", "warning", commits=F.col("commits"), threshold=F.lit(g.settings.drift_threshold)), _count(rows))
+    """More changes to a document's targets since its review than the threshold; one of whose targets none can be measured
+    is reported as such."""
+    limit = g.settings.drift_threshold
+    rows = drift(g).join(g.nodes.select("id", "path", "reviewed"), "id")
+    live = g.nodes.where(~F.col("status").isin(*g.settings.terminal) & F.col("reviewed").isNotNull())
+    blind = rows.where("measured = 0")
+    moved = _found(rows.where((F.col("measured") > 0) & (F.col("commits") > limit)), "git_drift", "warning", threshold=F.lit(limit), reviewed=F.col("reviewed"), evidence=F.struct("commits", "hottest"))
+    unseen = _found(blind, "git_drift", "warning", targets=F.col("unmeasured"), reviewed=F.col("reviewed"))
+    return Outcome(moved.union(unseen), _count(live.join(blind.select("id"), "id", "left_anti")), None, _count(blind))
 
 
 def filename_pattern(g: Graph) -> Outcome:
@@ -206,6 +214,15 @@ def unique_numbering(g: Graph) -> Outcome:
     return Outcome(_union(bad, g), _count(_paths(blocks, g)))
 
 
+def _added(g: Graph, delta, blocks) -> DataFrame:
+    """Documents that a block selects but that weren't there before: nothing to compare them with."""
+    out = g.nodes.select("path").where(F.lit(False))
+    new = g.nodes.join(delta.before.nodes.select("id"), "id", "left_anti")
+    for b in blocks:
+        out = out.union((new.where(F.col("kind").isin(*b["kinds"])) if b.get("kinds") else new).select("path"))
+    return out
+
+
 def frontmatter_immutable(g: Graph, delta) -> Outcome:
     """Fields locked once a document's status was terminal before the change."""
     bad, judged = [], []
@@ -218,7 +235,7 @@ def frontmatter_immutable(g: Graph, delta) -> Outcome:
         moved = delta.status_transitions().select("id", F.lit("status").alias("field"))
         bad.append(_found(changed.union(moved).distinct().join(was, "id"), f"frontmatter_immutable/{b['name']}", "error", field=F.col("field")))
         judged.append((was, b))
-    return Outcome(_union(bad, g), _count(_paths(judged, g)))
+    return Outcome(_union(bad, g), _count(_paths(judged, g)), None, _count(_added(g, delta, g.settings.frontmatter_immutable)))
 
 
 def body_immutable(g: Graph, delta) -> Outcome:
@@ -236,7 +253,7 @@ def body_immutable(g: Graph, delta) -> Outcome:
             changed = changed & ~(F.slice("l1", 1, F.size("l0")) == F.col("l0"))
         bad.append(_found(both.where(changed), f"body_immutable/{b['name']}", "error", mode=F.lit(b.get("mode", "frozen"))))
         judged.append((both, b))
-    return Outcome(_union(bad, g), _count(_paths(judged, g)))
+    return Outcome(_union(bad, g), _count(_paths(judged, g)), None, _count(_added(g, delta, g.settings.body_immutable)))
 
 
 def body_line(g: Graph) -> Outcome:
@@ -313,8 +330,20 @@ REGISTRY: list[tuple[str, Callable, Callable[[Graph], bool], bool]] = [
 ]
 
 
-def check(g: Graph, delta=None) -> tuple[DataFrame, DataFrame, list[str]]:
-    """All findings, coverage (rule_id, subjects), and the names of rules that could not run."""
+def _narrowed(name: str, findings: DataFrame, delta) -> DataFrame:
+    """Findings that a change answers for: about no document or one it touched; an orphan also by its links."""
+    ids = delta.touched()
+    if name == "orphan":
+        ids = ids.union(delta.relinked())
+    ids = ids.select(F.col("id").alias("node_id")).distinct()
+    return findings.join(ids, "node_id", "left_semi").select(*FINDING).union(findings.where("node_id IS NULL").select(*FINDING))
+
+
+def check(g: Graph, delta=None, narrow: bool = False) -> tuple[DataFrame, DataFrame, list[str]]:
+    """All findings, coverage (rule_id, subjects, unjudged), and the names of rules that could not run.
+
+    ``narrow`` leaves the findings that the delta answers for; coverage stays whole.
+    """
     found, covered, skipped = [], [], []
     for name, rule, registered, on_change in REGISTRY:
         if not registered(g):
@@ -326,17 +355,21 @@ def check(g: Graph, delta=None) -> tuple[DataFrame, DataFrame, list[str]]:
         if out.skipped:
             skipped.append(name)
             continue
-        found.append(out.findings)
-        covered.append(out.subjects.select(F.lit(name).alias("rule_id"), F.col("n").cast("long").alias("subjects")))
+        found.append(_narrowed(name, out.findings, delta) if narrow and delta is not None else out.findings)
+        none = out.subjects.select(F.lit(0).cast("long").alias("u"))
+        unjudged = none if out.unjudged is None else out.unjudged.select(F.col("n").cast("long").alias("u"))
+        covered.append(out.subjects.select(F.lit(name).alias("rule_id"), F.col("n").cast("long").alias("subjects")).join(F.broadcast(unjudged)))  # one row
     coverage = covered[0]
     for c in covered[1:]:
         coverage = coverage.union(c)
-    return _union(found, g).orderBy("rule_id", F.col("node_id").asc_nulls_first(), "details"), coverage.orderBy("rule_id"), skipped
+    return _union(found, g).orderBy("rule_id", F.col("node_id").asc_nulls_first(), "details"), coverage.select("rule_id", "subjects", F.col("u").alias("unjudged")).orderBy("rule_id"), skipped
 
 
 def introduced(after: DataFrame, before: DataFrame) -> DataFrame:
     """Findings beyond those that were there before, each counted as often as it occurs."""
-    key = ["rule_id", "severity", "node_id", "details"]
+    key = ["rule_id", "severity", "node_id", "cause"]
+    cause = F.regexp_replace("details", r',?"evidence":\{[^{}]*\}', "")  # evidence says where things stand, not which finding it is
+    after, before = after.withColumn("cause", cause), before.withColumn("cause", cause)
     number = F.row_number().over(Window.partitionBy(*key).orderBy("path"))
     had = before.groupBy(*key).agg(F.count("*").alias("had"))
     same = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in key]
@@ -344,6 +377,20 @@ def introduced(after: DataFrame, before: DataFrame) -> DataFrame:
     return rows.select(*[F.col(f"a.{c}") for c in FINDING])
 
 
+def proposed(before: Graph, after: Graph, paths: list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What a proposal adds: findings introduced, warnings that stand on the proposed documents, and each path's verdict."""
+    now = check(after)[0]
+    new = introduced(now, check(before)[0])
+    scope = after.nodes.select("path")
+    if after.parse_failures is not None:
+        scope = scope.union(after.parse_failures.select("path"))
+    asked = after.nodes.sparkSession.createDataFrame([(p,) for p in paths], "path string")
+    standing = now.where("severity = 'warning'").join(F.broadcast(asked), "path", "left_semi").select(*FINDING)  # the paths of one proposal
+    bad = new.where("severity = 'error'").select("path", F.lit(True).alias("bad")).distinct()
+    verdicts = asked.join(scope.distinct().withColumn("there", F.lit(True)), "path", "left").join(bad, "path", "left")
+    return new, standing, verdicts.select("path", F.coalesce("there", F.lit(False)).alias("in_scope"), F.coalesce("bad", F.lit(False)).alias("has_path_errors")).orderBy("path")
+
+
 def issues(g: Graph, delta=None) -> DataFrame:
     """category and count: findings by rule, unresolved edges that warn, and informative ones by policy."""
     findings, _, _ = check(g, delta)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillgraph.functions.columns import directory, jaccard, title_tokens, weighted_mean
 from quillgraph.model import REF, Graph
+from quillgraph.plans.resolve import BY_ID, candidates_of
 
 
 def linkers(g: Graph) -> DataFrame:
@@ -14,16 +15,50 @@ def linkers(g: Graph) -> DataFrame:
     return g.external.select(F.col("target_id").alias("id"), "source").distinct().groupBy("id").agg(F.count("*").alias("linkers"))
 
 
-def drift(g: Graph) -> DataFrame:
-    """id, commits: changes to a reviewed live document's targets since the day after its review."""
+def drift_targets(g: Graph) -> DataFrame:
+    """id, reviewed, edge_idx, label and path (null: nothing to measure) of each reference whose target's changes count.
+
+    A reference without a document counts for the first file or folder, of those it was looked up under, that exists.
+    """
     s = g.settings
-    to = g.edges.where(F.col("relation").isin(*s.drift_relations)).join(g.nodes.select(F.col("id").alias("target_id"), F.col("path").alias("target_path")), "target_id", "left")
-    to = to.select(F.col("source").alias("id"), F.coalesce("target_path", F.when(F.col("relation") == "covers", F.col("target_raw"))).alias("path")).where("path IS NOT NULL").distinct()
-    live = g.nodes.where(~F.col("status").isin(*s.terminal) & F.col("reviewed").isNotNull()).select("id", "reviewed")
-    targets = to.join(live, "id")
+    live = g.nodes.where(~F.col("status").isin(*s.terminal) & F.col("reviewed").isNotNull()).select(F.col("id").alias("source"), F.col("path").alias("source_path"), "reviewed")
+    edges = g.edges.where(F.col("relation").isin(*s.drift_relations)).join(live, "source")
+    to = g.nodes.select(F.col("id").alias("target_id"), F.col("path").alias("target_path"))
+    bound = edges.where("target_id IS NOT NULL").join(to, "target_id", "left").select("source", "reviewed", "edge_idx", F.col("target_id").alias("label"), F.col("target_path").alias("path"))
+    loose = candidates_of(edges.where("target_id IS NULL"), s.extensions)
+    by_path = ~F.col("relation").isin(*BY_ID)
+    if g.files is None:
+        loose = loose.withColumn("path", F.when(F.col("relation") == "covers", F.element_at(F.filter("sought", lambda x: x.isNotNull()), 1)))
+    else:
+        sought = loose.where(by_path).select("source", "edge_idx", F.posexplode("sought").alias("place", "path"))
+        first = sought.join(g.files.select("path").distinct(), "path", "left_semi").groupBy("source", "edge_idx").agg(F.min_by("path", "place").alias("path"))
+        loose = loose.join(first, ["source", "edge_idx"], "left")
+    loose = loose.select("source", "reviewed", "edge_idx", F.col("target_raw").alias("label"), "path")
+    return bound.unionByName(loose).withColumnRenamed("source", "id")
+
+
+def drift(g: Graph) -> DataFrame:
+    """id, commits, hottest (the target with most changes, the first of equals), offered and measured references, and the
+    labels of those unmeasured: changes to the targets of live documents since the day after their review."""
+    targets = drift_targets(g)
+    changes = g.commits.select("path", "date")
+    if "commit" in g.commits.columns and g.files is not None:
+        folders = g.files.where("is_dir").select("path")
+        parts = F.split("path", "/")
+        above = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
+        inside = g.commits.where(F.size(parts) > 1).select("commit", "date", F.explode(above).alias("path")).distinct()
+        changes = changes.union(inside.join(folders, "path", "left_semi").select("path", "date"))
     # Both sides meet on the path; the date is a residual condition of the hash join.
-    changes = targets.join(g.commits, (targets["path"] == g.commits["path"]) & (g.commits["date"] >= F.date_add(targets["reviewed"], 1)), "left")
-    return changes.groupBy("id").agg(F.count(g.commits["date"]).alias("commits"))
+    each = targets.join(changes, (targets["path"] == changes["path"]) & (changes["date"] >= F.date_add(targets["reviewed"], 1)), "left")
+    each = each.groupBy("id", "edge_idx", "label", targets["path"].alias("at")).agg(F.count(changes["date"]).alias("n"))
+    measured = F.col("at").isNotNull()
+    return each.groupBy("id").agg(
+        F.sum("n").alias("commits"),
+        F.min_by(F.when(measured, F.col("label")), F.struct(~measured, -F.col("n"), "edge_idx")).alias("hottest"),
+        F.count("*").alias("offered"),
+        F.count("at").alias("measured"),
+        F.array_sort(F.collect_set(F.when(~measured, F.col("label")))).alias("unmeasured"),
+    )
 
 
 def trust(g: Graph) -> DataFrame:
@@ -43,7 +78,7 @@ def trust(g: Graph) -> DataFrame:
     back = F.when(F.col("most") > 0, unit(F.log(F.col("linkers") + F.lit(1.0)) / F.log(F.col("most") + F.lit(1.0))))
     undeclared = ~terminal & F.col("reviewed").isNull()
     if s.drift_threshold and g.commits is not None:
-        rows = rows.join(drift(g), "id", "left")
+        rows = rows.join(drift(g).where("measured > 0").select("id", "commits"), "id", "left")
         moved = F.when(~terminal & F.col("commits").isNotNull(), unit(F.lit(1.0) - F.col("commits") / F.lit(float(s.drift_threshold))))
     else:
         moved = F.lit(None).cast("double")

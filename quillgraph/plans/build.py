@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import dataclasses
+import hashlib
 import json
 
 import pandas as pd
@@ -9,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, MapType, StringType, StructField, StructType
 
+from quillgraph.functions.columns import matches_glob
 from quillgraph.model import EDGES, NODES, Graph, Settings
 from quillgraph.operators.walks import _cut, topological
 from quillgraph.plans.parse import ParseError, Rules, read_document
@@ -59,6 +62,45 @@ def parse_files(files: DataFrame, rules: Rules) -> DataFrame:
     return files.select("path", "content", "content_hash").mapInPandas(read, PARSED)
 
 
+def config_hash(*parts) -> str:
+    """A digest of what reading depends on (reading rules, scope, this format's version): parsed files of another are not reused."""
+    plain = json.dumps([FORMAT_VERSION, *(dataclasses.asdict(p) if dataclasses.is_dataclass(p) else p for p in parts)], sort_keys=True, default=list)
+    return hashlib.sha256(plain.encode()).hexdigest()
+
+
+class ParseCache:
+    """Parsed files kept as a table under ``folder``, for one configuration; each save holds the paths there are now alone."""
+
+    def __init__(self, spark: SparkSession, folder: str, key: str):
+        self.spark, self.folder, self.root = spark, folder, f"{folder}/{key[:32]}"
+
+    def _fs(self, at: str):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(at)
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
+
+    def _numbers(self) -> list[int]:
+        fs, path = self._fs(self.root)
+        names = [x.getPath().getName() for x in fs.listStatus(path)] if fs.exists(path) else []
+        whole = [n for n in names if fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{n}/_SUCCESS"))]
+        return sorted(int(n) for n in whole if n.isdigit())
+
+    def load(self) -> DataFrame | None:
+        held = self._numbers()
+        return self.spark.read.schema(PARSED).parquet(f"{self.root}/{held[-1]}") if held else None
+
+    def parse(self, files: DataFrame, rules: Rules) -> tuple[DataFrame, int]:
+        """The parsed files, saved again, and how many of them were held before."""
+        held, cached = self._numbers(), self.load()
+        to = f"{self.root}/{held[-1] + 1 if held else 0}"
+        parse_changed(files, rules, cached).write.mode("overwrite").parquet(to)
+        now = self.spark.read.schema(PARSED).parquet(to)
+        reused = now.select("path", "content_hash").join(cached.select("path", "content_hash"), ["path", "content_hash"], "left_semi").count() if cached is not None else 0
+        for n in held:
+            fs, path = self._fs(f"{self.root}/{n}")
+            fs.delete(path, True)
+        return now, reused
+
+
 def parse_changed(files: DataFrame, rules: Rules, cached: DataFrame | None) -> DataFrame:
     """The parsed files, those of the same path and content taken from ``cached``."""
     if cached is None:
@@ -97,6 +139,46 @@ def check_supersession(edges: DataFrame) -> None:
         n = left
 
 
+def scope_advisories(paths: DataFrame, nodes: DataFrame, include=(), rules: Rules = Rules(), conditional=()) -> list[str]:
+    """What a project declares that selects nothing, and documents that slip through its kinds; one pass over paths and one over nodes."""
+    asked = [(f"scope.include pattern {g!r} matched no files", g) for g in include]
+    asked += [(f"identity.kind_rules glob {g!r} (kind {k!r}) matched no files", g) for g, k in rules.kind_rules]
+    asked += [(f"scope.conditional_exclude glob {g!r} matched no files, so the rule drops nothing", g) for pair in conditional for g in pair]
+    any_path = lambda c: F.coalesce(F.max(c), F.lit(False))
+    found = paths.agg(F.count("*").alias("n"), *[any_path(matches_glob(F.col("path"), g)).alias(f"p{i}") for i, (_, g) in enumerate(asked)]).first()
+    if not found.n:
+        return ["the scope holds no files"]
+    out = [text for i, (text, _) in enumerate(asked) if not found[f"p{i}"]]
+    if rules.id_rules:
+        applies = [any_path((F.lit(k == "*") | (F.col("kind") == k)) & matches_glob(F.col("path"), g)).alias(f"r{i}") for i, (k, g, _) in enumerate(rules.id_rules)]
+        row = nodes.agg(F.count("*").alias("n"), *applies).first()
+        out += [f"identity.id_rules entry (kind {k!r}, glob {g!r}) applied to no node" for i, (k, g, _) in enumerate(rules.id_rules) if row.n and not row[f"r{i}"]]
+    if rules.kind_rules:
+        slipped = F.lit(True)
+        for g, _ in rules.kind_rules:
+            slipped = slipped & ~matches_glob(F.col("path"), g)
+        rest = nodes.where((F.col("kind") == rules.fallback_kind) & slipped).agg(F.count("*").alias("n"), F.min("path").alias("least")).first()
+        if rest.n:
+            out.append(f"{rest.n} documents have kind {rules.fallback_kind!r} but match no identity.kind_rules glob, {rest.least!r} the first")
+    return out
+
+
+def statistics(graph: Graph) -> DataFrame:
+    """measure and value: documents, failures, and edges by relation and by whether they are resolved."""
+    one = lambda name, df: df.agg(F.count("*").alias("value")).select(F.lit(name).alias("measure"), "value")
+    resolved = F.when(F.col("target_id").isNull(), "unresolved:").otherwise("edges:")
+    by = graph.edges.groupBy(F.concat(resolved, "relation").alias("measure")).agg(F.count("*").alias("value"))
+    out = one("nodes", graph.nodes).union(by)
+    return out.union(one("parse_failures", graph.parse_failures)) if graph.parse_failures is not None else out
+
+
+def write_json(graph: Graph, folder: str) -> None:
+    """Nodes and edges as JSON lines, nodes by id and path and edges in canonical order, file after file."""
+    for name, order in (("nodes", ["id", "path"]), ("edges", ["edge_idx"])):
+        frame = getattr(graph, name)
+        frame.orderBy(*order).select(F.to_json(F.struct(*frame.columns)).alias("value")).write.mode("overwrite").text(f"{folder}/{name}.json")
+
+
 def write_snapshot(graph: Graph, folder: str) -> None:
     """The relations as Parquet tables, and their format's version beside them."""
     spark = graph.nodes.sparkSession

@@ -173,7 +173,7 @@ WHERE o_orderstatus = 'O' GROUP BY o_orderkey""", with_view=False)
 def q11_drift(spark, sf):
     g = view.graph(spark, sf, ("implements",))
     g = dataclasses.replace(g, settings=dataclasses.replace(g.settings, drift_threshold=50, drift_relations=("implements",)))
-    return scores.drift(g)
+    return scores.drift(g).select("id", "commits")
 
 
 @_query("q12_components", """
@@ -269,7 +269,7 @@ SELECT 'acyclic_relation' AS rule_id, (SELECT count(*) FROM edges WHERE relation
 UNION ALL SELECT r, (SELECT count(*) FROM nodes) FROM (VALUES ('parse_failure'), ('field_parse'), ('required_field'), ('field_type'), ('field_enum'), ('cross_field')) AS v(r)
 UNION ALL SELECT 'orphan', (SELECT count(*) FROM q) UNION ALL SELECT 'stale_review', (SELECT count(*) FROM nodes WHERE {_LIVE} AND reviewed IS NOT NULL)""")
 def check_coverage(spark, sf):
-    return rules.check(view.graph(spark, sf))[1]
+    return rules.check(view.graph(spark, sf))[1].select("rule_id", "subjects")
 
 
 def _turns(spark, sf) -> Graph:
@@ -368,7 +368,7 @@ change AS (SELECT id, CASE WHEN kind = 'supplier' AND k % 4 = 0 THEN 'moved' ELS
 walk(root, id, hops) AS (SELECT id, id, 0 FROM change UNION SELECT root, source, hops + 1 FROM walk JOIN e ON e.target_id = walk.id WHERE hops < 2 AND source IN (SELECT id FROM new))
 SELECT root, change.change, walk.id, CAST(min(hops) AS INTEGER) AS hops FROM walk JOIN change ON change.id = root WHERE hops > 0 GROUP BY ALL""")
 def q19_impact(spark, sf):
-    return impact(_delta(spark, sf), max_depth=2)
+    return impact(_delta(spark, sf), max_depth=2).select("root", "change", "id", "hops")
 
 
 @_query("q20_report", f"""

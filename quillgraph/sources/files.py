@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import subprocess
 import tempfile
 
@@ -36,6 +37,18 @@ def _in_scope(rows: DataFrame, include, exclude, prune) -> DataFrame:
     return rows
 
 
+def one_name_each(files: DataFrame, real: DataFrame) -> DataFrame:
+    """Files without further names of the same file: ``real`` maps path to real_path, and the first path by order stays."""
+    kept = files.select("path").join(real, "path", "left").groupBy(F.coalesce("real_path", "path").alias("real_path")).agg(F.min("path").alias("path"))
+    return files.join(kept.select("path"), "path", "left_semi")
+
+
+def real_paths(spark: SparkSession, root: str) -> DataFrame:
+    """path and real_path of what is below a folder of the driver's machine, for ``one_name_each``."""
+    rows = [(os.path.relpath(at, root).replace(os.sep, "/"), os.path.realpath(at)) for d, _, names in os.walk(root) for at in (os.path.join(d, x) for x in names)]
+    return spark.createDataFrame(rows, "path string, real_path string")
+
+
 def overlay(files: DataFrame, proposed: DataFrame) -> DataFrame:
     """The files with proposed contents in place of theirs; a null content removes a file."""
     kept = files.join(proposed.select("path"), "path", "left_anti")
@@ -58,15 +71,15 @@ def git_ref(root: str, ref: str) -> str:
 
 
 def git_commits(spark: SparkSession, root: str) -> DataFrame:
-    """path and date of every change in the history, for drift."""
-    out = subprocess.run(["git", "-C", root, "log", "--format=@%cs", "--name-only"], check=True, capture_output=True, text=True).stdout
-    rows, date = [], None
+    """commit, path and date of every change in the history, for drift."""
+    out = subprocess.run(["git", "-C", root, "log", "--relative", "--format=@%H %cs", "--name-only"], check=True, capture_output=True, text=True).stdout
+    rows, commit, date = [], None, None
     for line in out.splitlines():
-        if line.startswith("@"):
-            date = line[1:]
+        if m := re.fullmatch(r"@([0-9a-f]{40,}) (\S+)", line):
+            commit, date = m.groups()
         elif line:
-            rows.append((line, date))
-    return spark.createDataFrame(rows, "path string, date string").withColumn("date", F.to_date("date"))
+            rows.append((commit, line, date))
+    return spark.createDataFrame(rows, "commit string, path string, date string").withColumn("date", F.to_date("date"))
 
 
 def conditional_exclude(files: DataFrame, status: DataFrame, parent_glob: str, child_glob: str, terminal: tuple[str, ...]) -> DataFrame:

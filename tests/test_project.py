@@ -5,7 +5,7 @@ import json
 
 import pytest
 
-from quillgraph import cli, mutate
+from quillgraph import cli, contract, mutate
 from quillgraph.config import ConfigError, frontmatter_schema, load, manifest
 
 TODAY = dt.date(2026, 6, 15)
@@ -92,8 +92,38 @@ def test_command_line(spark, tmp_path, capsys):
 
     assert ask("build")[1]["data"]["nodes"] == 2 and ask("status")[1]["data"]["state"] == "current"
     assert [x["id"] for x in ask("query", "backlinks", "a")[1]["data"]["items"]] == ["generic-b"]
-    code, found = ask("check")
-    assert code == 1 and found["data"]["has_errors"]
+    again = ask("build")[1]
+    assert (again["data"]["cached"], again["data"]["parsed"]) == (2, 0) and any("docs/decisions" in w for w in again["warnings"])
+    code, found = ask("check", "--severity", "warning")
+    assert code == 1 and found["data"]["has_errors"] and all(x["severity"] == "warning" for x in found["data"]["items"])
+    (tmp_path / "new.md").write_text("---\nid: n\nkind: nope\ncreated: 2026-01-01\n---\n[a](a.md)\n")
+    code, found = ask("check", "--content", f"docs/new.md={tmp_path}/new.md")
+    assert code == 1 and [(x["rule_id"], x["node_id"]) for x in found["data"]["items"] if x["severity"] == "error"] == [("field_enum", "n")]
+    assert found["data"]["proposals"] == [{"path": "docs/new.md", "in_scope": True, "has_path_errors": True}] and not any(x["severity"] == "error" for x in found["data"]["standing"])
+    issues = ask("query", "issues")[1]["data"]
+    assert issues["summary"]["by_category"]["violation_required_field"] == 2 and {x["raw_target"] for x in issues["unresolved_edges"]} == {"x", "y"}
+    assert ask("query", "nodes", "--where", "id=a", "--fields", "id,status", "--limit", "1")[1]["data"] == {"items": [{"id": "a", "status": "active"}], "total": 1, "returned": 1}
+    assert "[b](b.md)" in ask("query", "node", "a", "--with-body")[1]["data"]["items"][0]["body"]
+    for wrong, why in ((("query", "node", "zz"), "NOT_FOUND"), (("query", "nodes", "--kind", "zz"), "USAGE"), (("query", "nodes", "--tag", "a,,b"), "USAGE"), (("query", "stale", "--limit", "0"), "USAGE"), (("query", "similar"), "USAGE"), (("lifecycle", "set", "docs/a.md", "zz"), "CONFIG"), (("scaffold", "adr", "New"), "GATE")):
+        code, answer = ask(*wrong)
+        assert code == 2 and answer["error"]["code"] == why
     assert ask("migrate", "--apply")[1]["data"]["paths"] == ["docs/b.md"] and "id: generic-b" in (tmp_path / "docs/b.md").read_text()
     assert ask("rename", "docs/b.md", "docs/n/c.md")[0] == 0 and "(../a.md)" in (tmp_path / "docs/n/c.md").read_text()
-    assert ask("report")[1]["data"]["generated"] == ["GRAPH.md"] and ask("query", "search")[0] == 2 and ask("export", "rules")[0] == 0
+    assert ask("report")[1]["data"]["generated"][-1] == "GRAPH.md" and ask("query", "search")[0] == 2 and ask("export", "rules")[0] == 0
+
+
+def test_grammar_and_envelope(spark, tmp_path, capsys):
+    assert {"search", "trust"} <= {*cli.grammar()["commands"]["query"]["commands"]}
+    assert cli.main(["--root", str(tmp_path), "export", "envelope"], spark) == 0
+    made = json.loads(capsys.readouterr().out.strip().splitlines()[-1])["data"]["commands"]
+    assert made["stale"]["properties"]["data"]["properties"]["items"]["items"]["properties"]["reviewed"] == {"type": "string", "format": "date"}
+
+
+def test_contract_changes_and_versions():
+    old = {"properties": {"a": {"type": "string"}, "b": {"enum": ["x"]}}, "required": ["a"]}
+    new = {"properties": {"a": {"type": "string"}, "b": {"enum": ["x", "y"]}, "c": {}}, "required": []}
+    diff = contract.schema_diff(old, new)
+    assert {(at, breaking) for at, _, breaking in diff} == {("/properties/b/enum/y", True), ("/properties/c", False), ("/required/a", True)}
+    assert not contract.bump_satisfies("1.2.3", "1.3.0", diff) and contract.bump_satisfies("1.2.3", "2.0.0", diff) and contract.bump_satisfies("0.2.0", "0.3.0", diff) and contract.bump_satisfies("1.0.0", "1.0.0", [])
+    for requirement, good, bad in (("^1.2", "1.9.0", "2.0.0"), ("~1.2", "1.2.9", "1.3.0"), (">=1, <2", "1.0.0", "2.0.0"), ("^0.3", "0.3.4", "0.4.0"), ("=1.2", "1.2.7", "1.3.0"), ("<=1.2", "1.2.9", "1.3.0")):
+        assert contract.version_matches(requirement, good) and not contract.version_matches(requirement, bad)
