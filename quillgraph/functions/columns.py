@@ -128,3 +128,29 @@ def normalized_path(path: Column) -> Column:
     start = F.array().cast("array<string>")
     up = lambda a, x: F.when(a.isNull() | ((x == "..") & (F.size(a) == 0)), F.lit(None).cast("array<string>")).when(x == "..", F.slice(a, 1, F.size(a) - 1)).otherwise(F.concat(a, F.array(x)))
     return F.array_join(F.aggregate(parts, start, up), "/")
+
+
+def replaced(items: Column, old: str, new: str) -> Column:
+    """A list with one value in place of another, each value once and in order."""
+    return F.array_distinct(F.transform(items, lambda x: F.when(x == old, F.lit(new)).otherwise(x)))
+
+
+def one_line(text: Column) -> Column:
+    """The text with each run of white space as one space and none at the ends."""
+    return F.trim(F.regexp_replace(text, r"\s+", " "))
+
+
+def canonical_text(content: Column) -> Column:
+    """Content without a byte order mark, its lines ended by single line feeds."""
+    return F.regexp_replace(F.regexp_replace(content, "^\ufeff", ""), "\r\n?", "\n")
+
+
+def begins_with(lines: Column, start: Column) -> Column:
+    """Whether a list begins with another one."""
+    return F.slice(lines, 1, F.size(start)) == start
+
+
+def newest(created: Column, reviewed: Column, updated: Column) -> tuple[Column, Column]:
+    """The newest of three dates and its name; of equal dates created counts before reviewed before updated."""
+    date = F.greatest(created, reviewed, updated)
+    return date, F.when(created == date, "created").when(reviewed == date, "reviewed").when(updated == date, "updated")

@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillgraph.functions.columns import days_since, field_text, normalized_path
+from quillgraph.functions.columns import days_since, field_text, newest, normalized_path
 from quillgraph.model import REF, Graph
 
 
@@ -100,8 +100,7 @@ def stale(g: Graph) -> DataFrame:
 def recent(g: Graph, days: int = 7, since: dt.date | None = None, field: str | None = None, kind: str | None = None, limit: int | None = 20) -> DataFrame:
     """Documents by their newest date (or one field's), newest first; on equal dates created counts before reviewed and updated."""
     cutoff = since or g.settings.today - dt.timedelta(days=days)
-    date = F.col(field) if field else F.greatest("created", "reviewed", "updated")
-    name = F.lit(field) if field else F.when(F.col("created") == date, "created").when(F.col("reviewed") == date, "reviewed").otherwise("updated")
+    date, name = (F.col(field), F.lit(field)) if field else newest(F.col("created"), F.col("reviewed"), F.col("updated"))
     rows = g.nodes.where(F.col("kind") == kind) if kind else g.nodes
     rows = rows.select(*REF, name.alias("field"), date.alias("date")).where(F.col("date") >= F.lit(cutoff))
     rows = rows.withColumn("days_ago", days_since(g.settings.today, F.col("date"))).orderBy(F.desc("date"), "id")

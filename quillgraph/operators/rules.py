@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillgraph.functions.columns import field_missing, field_text, file_name, matches_glob, predicate, sequence_number
+from quillgraph.functions.columns import begins_with, field_missing, field_text, file_name, matches_glob, predicate, sequence_number
 from quillgraph.model import LISTS, SCALARS, Graph
 from quillgraph.operators import lookups
 from quillgraph.operators.scores import drift
@@ -182,6 +182,12 @@ def numbered(g: Graph, b: dict) -> DataFrame:
     return g.nodes.where(matches_glob(F.col("path"), b["glob"])).withColumn("number", sequence_number(F.col("path"))).where("number IS NOT NULL")
 
 
+def next_number(rows: DataFrame) -> DataFrame:
+    """One row: the number after the highest, and how many digits it is padded to (the longest there is, four at least)."""
+    digits = F.regexp_extract(file_name(F.col("path")), r"^(\d+)", 1)
+    return rows.agg((F.coalesce(F.max("number"), F.lit(0)) + 1).cast("long").alias("next"), F.greatest(F.lit(4), F.coalesce(F.max(F.length(digits)), F.lit(4))).alias("width"))
+
+
 def number_gaps(rows: DataFrame) -> DataFrame:
     """Rows whose number leaves a gap to the one before; distinct numbers meet their neighbour within ranges of numbers.
 
@@ -250,7 +256,7 @@ def body_immutable(g: Graph, delta) -> Outcome:
         both = was.select("id", "path", F.col("body_hash").alias("h0"), F.col("body_lines_hash").alias("l0")).join(g.nodes.select("id", F.col("body_hash").alias("h1"), F.col("body_lines_hash").alias("l1")), "id")
         changed = ~F.col("h0").eqNullSafe(F.col("h1"))
         if b.get("mode") == "append_only":
-            changed = changed & ~(F.slice("l1", 1, F.size("l0")) == F.col("l0"))
+            changed = changed & ~begins_with(F.col("l1"), F.col("l0"))
         bad.append(_found(both.where(changed), f"body_immutable/{b['name']}", "error", mode=F.lit(b.get("mode", "frozen"))))
         judged.append((both, b))
     return Outcome(_union(bad, g), _count(_paths(judged, g)), None, _count(_added(g, delta, g.settings.body_immutable)))
@@ -266,6 +272,10 @@ def body_line(g: Graph) -> Outcome:
     return Outcome(_union(bad, g), _count(_paths(judged, g)))
 
 
+def _matching(glob: str):
+    return lambda x: matches_glob(x, glob)
+
+
 def unresolved_edges(g: Graph) -> DataFrame:
     """Edges without a target, their cause refined by what exists, with the severity of the first policy row that admits them."""
     from quillgraph.plans.resolve import candidates_of
@@ -289,7 +299,7 @@ def unresolved_edges(g: Graph) -> DataFrame:
         if relations:
             at = at & F.col("relation").isin(*relations)
         if glob:
-            at = at & F.exists("sought", lambda x, glob=glob: matches_glob(x, glob))
+            at = at & F.exists("sought", _matching(glob))
         severity, name = F.when(at, level).otherwise(severity), F.when(at, policy).otherwise(name)
     return rows.select("source", "source_path", "relation", F.col("target_raw").alias("raw_target"), "cause", "location", F.coalesce(severity, F.lit("warning")).alias("severity"), name.cast("string").alias("policy_name"))
 

@@ -114,9 +114,9 @@ def assemble(parsed: DataFrame, settings: Settings, files: DataFrame | None = No
     """The graph of parsed files; ids must be unique and supersession free of rings."""
     parsed = _cut(parsed)
     nodes = parsed.where("node IS NOT NULL").select("node.*")
-    twice = nodes.groupBy("id").agg(F.slice(F.array_sort(F.collect_list("path")), 1, 2).alias("paths")).where("size(paths) > 1").orderBy("id").first()
+    twice = duplicate_ids(nodes).orderBy("id").first()
     if twice:
-        raise DuplicateId(f"{twice.id}: {twice.paths[0]} and {twice.paths[1]}")
+        raise DuplicateId(f"{twice.id}: {twice.first} and {twice.second}")
     raw = parsed.where("node IS NOT NULL").select(F.col("node.id").alias("source"), F.col("path").alias("source_path"), F.posexplode("raw_edges").alias("ordinal", "e"))
     raw = raw.select("source", "source_path", F.col("e.target").alias("target_raw"), F.col("e.relation").alias("relation"), F.col("e.location").alias("location"), "ordinal")
     edges = canonical(resolve(raw, nodes, settings.extensions).unionByName(mirrored(nodes)))
@@ -125,6 +125,12 @@ def assemble(parsed: DataFrame, settings: Settings, files: DataFrame | None = No
     return Graph(nodes, edges, settings, exploded("annotations").select("source", "name", "key", "line"), exploded("body_lines"), parsed.where("node IS NULL").select("path", F.col("error").alias("message"), "content_hash"), files, commits)
 
 
+def duplicate_ids(nodes: DataFrame) -> DataFrame:
+    """id, first and second path of ids that several files have; partial aggregates alone are shuffled, never all paths."""
+    least = nodes.groupBy("id").agg(F.count("*").alias("n"), F.min("path").alias("first")).where("n > 1")
+    return nodes.join(least, "id").where("path > first").groupBy("id", "first").agg(F.min("path").alias("second"))
+
+
 def check_supersession(edges: DataFrame) -> None:
     """Peels documents that supersede nothing left, round by round, until nothing or a ring remains."""
     e = edges.where("relation = 'supersedes' AND target_id IS NOT NULL").select(F.col("source").alias("a"), F.col("target_id").alias("b")).distinct()

@@ -12,29 +12,14 @@ from quillgraph.model import Graph
 from quillgraph.operators import lookups, report, rules, scores, walks
 from quillgraph.operators.deltas import Delta, impact
 from quillgraph.plans import view
+from quillgraph.registry import registry
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+QUERIES, SQL, _query = registry()
 _TODAY = f"DATE '{view.TODAY}'"
 _REF = "id, title, kind, status, path"
 ROOT = "region-1"
 
 
-def _query(name: str, sql: str | None = None, with_view: bool = True):
-    def put(f):
-        QUERIES[name] = f
-        if sql:
-            text = sql.strip()
-            SQL[name] = "WITH RECURSIVE " + view.VIEW_SQL + (", " if text.startswith("q AS") else "\n") + text if with_view else text
-        return f
-
-    return put
-
-
-def _joined(column: str) -> F.Column:
-    return F.array_join(F.array_sort(column), ",")
-
-
 _LIVE = "status <> 'superseded'"
 _LINKERS = "linkers AS (SELECT target_id AS id, count(DISTINCT source) AS n FROM edges WHERE source <> target_id GROUP BY target_id)"
 _TRUST = f"""q AS (SELECT 1), {_LINKERS}, most AS (SELECT coalesce(max(n), 0) AS m FROM linkers),
@@ -79,7 +64,6 @@ def q03_backlinks(spark, sf):
 
 
 
-
 @_query("q04_chain", """
 q AS (SELECT o_orderkey, o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS position FROM orders)
 SELECT CAST(position AS INTEGER) AS position, id, title, kind, status, path FROM q JOIN nodes ON id = 'order-' || o_orderkey WHERE o_custkey = (SELECT o_custkey FROM orders WHERE o_orderkey = (SELECT min(o_orderkey) FROM orders))""")

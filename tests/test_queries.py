@@ -5,7 +5,9 @@ import os
 import duckdb
 import pytest
 
-from quillgraph.queries import QUERIES, SQL
+from quillgraph import operator_queries, queries
+
+QUERIES, SQL = {**queries.QUERIES, **operator_queries.QUERIES}, {**queries.SQL, **operator_queries.SQL}
 
 SF = "/root/testdata/sf0.001"
 
