@@ -16,7 +16,7 @@ from quillgraph.functions.columns import begins_with, field_missing, field_text,
 from quillgraph.model import LISTS, SCALARS, Graph
 from quillgraph.operators import lookups
 from quillgraph.operators.scores import drift
-from quillgraph.operators.walks import cyclic_members
+from quillgraph.operators.walks import _cut, cyclic_members
 
 FINDING = ("rule_id", "severity", "node_id", "path", "details")
 
@@ -189,10 +189,10 @@ def next_number(rows: DataFrame) -> DataFrame:
 
 
 def number_gaps(rows: DataFrame) -> DataFrame:
-    """Rows whose number leaves a gap to the one before; distinct numbers meet their neighbour within ranges of numbers.
+    """Rows whose number leaves a gap to the one before.
 
-    ``lag`` over one window would gather a whole block of names in one task; a number instead looks for its predecessor
-    by an anti join, and only the numbers at a gap, few, look for the nearest lower one.
+    A number looks for its predecessor by an anti join; those without one, and the last numbers of runs, are sorted into
+    ranges, and each range learns the last number before it, one value for each range, so no task sees all numbers.
     """
     numbers = rows.groupBy("number").agg(F.min(F.struct("id", "path")).alias("at"))
     before = numbers.select((F.col("number") + 1).alias("number"))
@@ -200,8 +200,16 @@ def number_gaps(rows: DataFrame) -> DataFrame:
     open_ = numbers.join(before, "number", "left_anti").join(F.broadcast(first)).where("number > least")
     last = numbers.select(F.col("number").alias("previous")).join(numbers.select((F.col("number") - 1).alias("previous")), "previous", "left_anti")
     both = open_.select("number", F.lit(True).alias("gap"), F.col("at.id").alias("id"), F.col("at.path").alias("path")).unionByName(last.select(F.col("previous").alias("number"), F.lit(False).alias("gap"), F.lit(None).cast("string").alias("id"), F.lit(None).cast("string").alias("path")))
-    w = Window.orderBy("number", F.col("gap").desc()).rowsBetween(Window.unboundedPreceding, -1)  # over ends of runs alone
-    return both.withColumn("previous", F.max(F.when(~F.col("gap"), F.col("number"))).over(w)).where("gap").select("id", "path", "number", "previous")
+    both = _cut(both.repartitionByRange("number", F.col("gap").desc())).withColumn("_p", F.spark_partition_id())
+    ended = F.when(~F.col("gap"), F.col("number"))
+    most = {r["_p"]: r.m for r in both.groupBy("_p").agg(F.max(ended).alias("m")).collect()}
+    carried, so_far = [], None
+    for p in range(max(most, default=0) + 1):
+        carried.append(F.lit(so_far).cast("decimal(38,0)"))
+        so_far = max((x for x in (so_far, most.get(p)) if x is not None), default=None)
+    w = Window.partitionBy("_p").orderBy("number", F.col("gap").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    previous = F.coalesce(F.max(ended).over(w).cast("decimal(38,0)"), F.element_at(F.array(*carried), F.col("_p") + 1))
+    return both.withColumn("previous", previous).where("gap").select("id", "path", "number", "previous")
 
 
 def sequential_numbering(g: Graph) -> Outcome:

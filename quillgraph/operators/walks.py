@@ -157,26 +157,69 @@ def topological(ids: set[str], links: list[tuple[str, str]]) -> list[str]:
     return out + sorted(ids - set(out))
 
 
-def cyclic_members(g: Graph, relation: str) -> DataFrame:
+def cyclic_members(g: Graph, relation: str, driver_links: int = DRIVER_NODES) -> DataFrame:
     """id, region (least id of its cycle) and via (its least successor inside) of documents in cycles of the relation.
 
     Documents without predecessor or successor are peeled away in Spark until none is left; what remains, cycles and
-    paths between them, is small in a healthy graph and is split on the driver below DRIVER_NODES.
+    paths between them, is small in a healthy graph and is split on the driver, or by colouring in Spark if it has more
+    than ``driver_links`` links.
     """
     e = _cut(g.edges.where((F.col("relation") == relation) & F.col("target_id").isNotNull()).select(F.col("source").alias("a"), F.col("target_id").alias("b")).distinct())
+    e, n = _trimmed(e)
+    if n > driver_links:
+        regions = coloured_components(e)
+        inside = e.join(regions.select(F.col("id").alias("a"), "region"), "a").join(regions.select(F.col("id").alias("b"), F.col("region").alias("other")), "b").where("region = other")
+        return inside.groupBy(F.col("a").alias("id"), "region").agg(F.min("b").alias("via"))
+    links: dict[str, list[str]] = {}
+    for r in e.collect() if n else []:
+        links.setdefault(r.a, []).append(r.b)
+    rows = [(x, min(c), min(y for y in links[x] if y in c)) for c in strong_components(links) if len(c) > 1 or next(iter(c)) in links.get(next(iter(c)), ()) for x in sorted(c)]
+    return g.nodes.sparkSession.createDataFrame(rows, "id string, region string, via string")
+
+
+def _trimmed(e: DataFrame) -> tuple[DataFrame, int]:
+    """The links (a, b) that are left when ends without predecessor or successor are peeled off, and their number."""
     n = e.count()
     while n:
         e = _cut(e.join(e.select(F.col("b").alias("a")), "a", "left_semi").join(e.select(F.col("a").alias("b")), "b", "left_semi").select("a", "b"))
         if (left := e.count()) == n:
             break
         n = left
-    if n > DRIVER_NODES:
-        raise ValueError(f"cycles of more than {DRIVER_NODES} links")
-    links: dict[str, list[str]] = {}
-    for r in e.collect() if n else []:
-        links.setdefault(r.a, []).append(r.b)
-    rows = [(x, min(c), min(y for y in links[x] if y in c)) for c in strong_components(links) if len(c) > 1 or next(iter(c)) in links.get(next(iter(c)), ()) for x in sorted(c)]
-    return g.nodes.sparkSession.createDataFrame(rows, "id string, region string, via string")
+    return e, n
+
+
+def _spread(label: DataFrame, e: DataFrame) -> DataFrame:
+    """label (id, m) with each id's m lowered to the least that reaches it along the links (a, b), until nothing moves."""
+    while True:
+        came = e.join(label.select(F.col("id").alias("a"), "m"), "a").groupBy(F.col("b").alias("id")).agg(F.min("m").alias("c"))
+        step = _cut(label.join(came, "id", "left").select("id", F.least("m", F.coalesce("c", "m")).alias("m"), (F.coalesce("c", "m") < F.col("m")).alias("moved")))
+        label = step.select("id", "m")
+        if not step.where("moved").limit(1).count():
+            return label
+
+
+def coloured_components(e: DataFrame) -> DataFrame:
+    """(id, region) of the strong components of the links (a, b), region being the least id of each; an id between cycles may
+    be a region of its own. Nothing gathers on the driver.
+
+    Each round colours every id by the least id that reaches it. The ids of a colour that reach its first id form that
+    id's strong component; they leave, what can't be in a cycle is peeled off, and the rest goes round again.
+    """
+    found = _nothing(e.sparkSession, "id string, region string")
+    while True:
+        e, n = _trimmed(e)
+        if not n:
+            return found
+        ids = e.select(F.col("a").alias("id")).union(e.select("b")).distinct()
+        colour = _spread(ids.select("id", F.col("id").alias("m")), e)
+        same = e.join(colour.select(F.col("id").alias("a"), F.col("m").alias("ca")), "a").join(colour.select(F.col("id").alias("b"), F.col("m").alias("cb")), "b").where("ca = cb")
+        back = _cut(same.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        # Within a colour an id's own name is above its colour's, so only those that reach the first id come down to it.
+        region = _spread(colour.select("id", F.col("id").alias("m")), back).join(colour.withColumnRenamed("m", "colour"), "id").where("m = colour").select("id", F.col("colour").alias("region"))
+        region = _cut(region)
+        found = found.union(region)
+        gone = region.select("id")
+        e = _cut(e.join(gone.withColumnRenamed("id", "a"), "a", "left_anti").join(gone.withColumnRenamed("id", "b"), "b", "left_anti").select("a", "b"))
 
 
 def strong_components(links: dict[str, list[str]]) -> list[set[str]]:

@@ -3,6 +3,7 @@
 import datetime as dt
 
 import pytest
+from pyspark.sql import functions as F
 
 from quillgraph.model import Settings
 from quillgraph.operators import lookups, report, rules, scores, walks
@@ -162,3 +163,23 @@ def test_resolution_frames(spark):
     rows = spark.createDataFrame([("s", "d/x.md", t, "references", "L1", i) for i, (t, _, _) in enumerate(raw)], "source string, source_path string, target_raw string, relation string, location string, ordinal int")
     got = {r.ordinal: (r.target_id, r.cause) for r in resolve(rows, nodes).collect()}
     assert [got[i] for i in range(len(raw))] == [x[1:] for x in raw]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_cycles_by_colouring_are_those_of_the_driver(spark, seed):
+    import random
+
+    rng = random.Random(seed)
+    links = sorted({(f"n{rng.randrange(14)}", f"n{rng.randrange(14)}") for _ in range(22)})
+    edges = spark.createDataFrame([(a, b, "related") for a, b in links], "source string, target_id string, relation string")
+    g = build.Graph(spark.createDataFrame([("x",)], "id string"), edges, SETTINGS)
+    want = sorted(map(tuple, walks.cyclic_members(g, "related").collect()))
+    assert sorted((r.id, r.region, r.via) for r in walks.cyclic_members(g, "related", driver_links=0).collect()) == want
+
+
+def test_number_gaps_over_ranges(spark):
+    numbers = [1, 2, 3, 7, 8, 20, 21, 22, 40]
+    rows = spark.createDataFrame([(f"d{n}", f"x/{n}.md", n) for n in numbers], "id string, path string, n int").withColumn("number", F.col("n").cast("decimal(20,0)"))
+    got = sorted((int(r.number), int(r.previous)) for r in rules.number_gaps(rows).collect())
+    assert got == [(7, 3), (20, 8), (40, 22)]
+    assert rules.number_gaps(rows.limit(0)).count() == 0
