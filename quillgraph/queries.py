@@ -363,9 +363,6 @@ def q20_report(spark, sf):
     return report.tallies(view.graph(spark, sf))
 
 
-QUERIES["graph_report"], SQL["graph_report"] = QUERIES["q20_report"], SQL["q20_report"]
-
-
 @_query("b4_edges", "SELECT source, target_id, relation, location FROM edges")
 def b4_edges(spark, sf):
     return view.edges(spark, sf).select("source", "target_id", "relation", "location")
