@@ -1,9 +1,11 @@
 """Each operator on a small table of hard cases, and the pipeline's stages."""
 
 import math
+import os
 import zlib
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -186,3 +188,42 @@ def test_pipeline_stages_keep_columns(spark, tmp_path):
     out = corpus_pipeline.run(spark, str(tmp_path))
     assert {*docs.columns, "shard", "slot"} == {*out.columns}
     assert {r.doc_id for r in out.collect()} <= {2, 5, 9, None}
+
+
+def test_rules_are_ordered_on_a_bounded_sample(docs):
+    for some in (docs, docs.limit(0)):
+        order = quality.order_rules(some, sample_rows=5)
+        assert {r for r, _, _ in order} == {*quality.RULES} and all(cost > 0 and 0 <= share <= 1 for _, cost, share in order)
+
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="needs the driver's tables")
+@pytest.mark.parametrize("module,name", [(quality, "op2_quality_rules"), (mixing, "op4_mixing")])
+def test_query_matches_sql(spark, module, name):
+    con = duckdb.connect()
+    for t in os.listdir(SF):
+        con.execute(f"CREATE VIEW {t.split('.')[0]} AS SELECT * FROM '{SF}/{t}'")
+    got, want = module.QUERIES[name](spark, SF).toPandas(), con.execute(module.SQL[name]).df()
+    columns = sorted(got.columns)
+    assert columns == sorted(want.columns)
+    assert sorted(map(str, got[columns].itertuples(index=False, name=None))) == sorted(map(str, want[columns].astype(got[columns].dtypes).itertuples(index=False, name=None)))
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="needs the driver's tables")
+def test_near_duplicates_of_the_documents_match_brute_force(spark):
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    got = neardup.op3_near_duplicates(spark, SF).collect()
+    assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got) == brute_components(rows, 2)
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="needs the driver's tables")
+def test_shards_of_the_documents_are_exact(spark):
+    got = sharding.op6_sharding(spark, SF)
+    assert dict(got.dtypes) == {"doc_id": "bigint", "size": "bigint", "text_crc32": "bigint", "law": "string", "shard": "int", "slot": "bigint", "grown_shard": "int"}
+    rows, texts = got.collect(), {r.doc_id: (r.text or "").encode() for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    assert {r.doc_id: (r.size, r.text_crc32) for r in rows} == {k: (len(t) + 8, zlib.crc32(t)) for k, t in texts.items()}
+    sizes = Counter(r.shard for r in rows)
+    assert set(sizes) == set(range(24)) and max(sizes.values()) - min(sizes.values()) <= 1
+    assert all(sorted(r.slot for r in rows if r.shard == s) == list(range(n)) for s, n in sizes.items())
