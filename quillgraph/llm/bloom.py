@@ -62,6 +62,6 @@ def build(keys: DataFrame, column: str, count: int, bits_per_key: int = 16, max_
 
     rows = keys.selectExpr(f"CAST({column} AS BIGINT) AS k").mapInArrow(locate, "s long, k long")
     bits = np.zeros(segments * (SEGMENT_BITS >> 3), np.uint8)
-    for row in rows.repartition("s").mapInArrow(fill, "s long, bits binary").toLocalIterator():
+    for row in rows.repartition("s").mapInArrow(fill, "s long, bits binary").collect():  # at most max_bits in all
         bits[row.s * (SEGMENT_BITS >> 3) : (row.s + 1) * (SEGMENT_BITS >> 3)] = np.frombuffer(row.bits, np.uint8)
     return Bloom(bits, segments, probes)
