@@ -20,8 +20,9 @@ from pyspark.sql import functions as F
 
 from quillgraph.llm.common import fresh, table
 
-#: Bound of the sample on which costs and selectivities are estimated.
+#: Bounds of the sample on which costs and selectivities are estimated: so many rows, of texts no longer than so many bytes.
 SAMPLE_ROWS = 2000
+SAMPLE_BYTES = 1 << 15
 
 WORDS = r"filter(split(coalesce({text}, ''), '[ \\t\\n\\x0B\\f\\r]+'), x -> x != '')"
 
@@ -77,8 +78,13 @@ def with_words(df: DataFrame, text: str = "text", words: str = "_words") -> Data
 
 
 def order_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text", sample_rows: int = SAMPLE_ROWS) -> list[tuple[Rule, float, float]]:
-    """Rules by rejection per cost on a sample of at most ``sample_rows`` rows, with cost in seconds and share rejected."""
-    sample = docs.select(F.col(text).alias("_text")).limit(sample_rows).persist()
+    """Rules by rejection per cost on a sample of at most ``sample_rows`` rows, with cost in seconds and share rejected.
+
+    The sample is the first rows that Spark finds, partition after partition until there are enough; it passes through
+    the driver, within its bounds, so that the rest of the table is neither read nor shuffled for it.
+    """
+    texts = docs.select(F.coalesce(F.col(text), F.lit("")).alias("_text")).where(F.octet_length("_text") <= SAMPLE_BYTES)
+    sample = docs.sparkSession.createDataFrame(texts.limit(sample_rows).collect(), "_text string").persist()
     try:
         found = []
         n = sample.count()
@@ -86,8 +92,10 @@ def order_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "t
         rows = with_words(sample, "_text")
         rows.agg(F.sum(F.size("_words"))).collect()
         for i, rule in enumerate(rules):
+            tried = rows.agg(F.count_if(F.expr(rule.rejects.format_map(features))))
+            hits = tried.first()[0]  # compiles it
             began = time.perf_counter()
-            hits = rows.agg(F.count_if(F.expr(rule.rejects.format_map(features)))).first()[0]
+            tried.first()
             found.append((time.perf_counter() - began, hits / max(1, n), i, rule))
     finally:
         sample.unpersist()
