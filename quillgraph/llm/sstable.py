@@ -17,6 +17,7 @@ the end id alone. Ids are two bytes where the vocabulary allows, else four.
 from __future__ import annotations
 
 import bisect
+import os
 import re
 import struct
 import unicodedata
@@ -186,23 +187,29 @@ class Encoder:
 
     Text is cut at ASCII white space, where the vocabulary's own pattern cuts too. Where text is in normal form C, before
     and after lower-casing A-Z, pieces are lower-cased first, as the vocabulary itself does. An unknown piece of letters,
-    or of letters and one mark at its end, goes straight to the library's model; others go through its whole encoder.
+    or of letters and one mark at its end, goes straight to the library's model; others go through its whole encoder
+    together.
     """
 
     def __init__(self, path: str, limit: int = CACHE_PIECES):
         from tokenizers import Tokenizer
 
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         self.tokenizer, self.limit = Tokenizer.from_file(path), limit
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.known: dict[bytes, bytes] = {}
         self.model = self.tokenizer.model
+        self.code = "H" if self.width == 2 else "I"
         self.marks = {x: self._ids(x) for x in ".,"}
         #: The letters that stand for bytes in byte-level vocabularies: printable ones for themselves, others from 256 on.
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         self.letters = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(sorted({*range(256)} - {*plain}))}
 
     def _ids(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, f"<u{self.width}").tobytes()
+        return array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _of_letters(self, body: str) -> bytes:
+        return array(self.code, [x.id for x in self.model.tokenize(body)]).tobytes()
 
     def pieces(self, text: str) -> list[bytes]:
         data = text.encode()
@@ -211,24 +218,31 @@ class Encoder:
             return data.split()
         return low.split()
 
-    def _learn(self, piece: bytes) -> bytes:
+    def _learn(self, piece: bytes) -> bytes | None:
+        """Ids of a piece of letters, with a mark at its end or without; None for others."""
+        if piece.isalpha():  # ASCII alone
+            return self._of_letters(piece.decode().lower())
         text = piece.decode()
         mark = self.marks.get(text[-1], b"") if len(text) > 1 else b""
         body = text[:-1] if mark else text
         if not body.isalpha() or "\u03a3" in body or "\u0130" in body or not unicodedata.is_normalized("NFC", body):
-            return self._ids(text)
+            return None
         body = body.lower()
-        if not body.isascii():
-            body = body.encode().decode("latin-1").translate(self.letters)
-        return array("H" if self.width == 2 else "I", [x.id for x in self.model.tokenize(body)]).tobytes() + mark
+        return self._of_letters(body if body.isascii() else body.encode().decode("latin-1").translate(self.letters)) + mark
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         cut = [self.pieces(x or "") for x in texts]
         if len(self.known) > self.limit:
             self.known.clear()
-        new = set().union(*cut).difference(self.known)
-        for piece in new:
-            self.known[piece] = self._learn(piece)
+        hard = []
+        for piece in set().union(*cut).difference(self.known):
+            if (ids := self._learn(piece)) is None:
+                hard.append(piece)
+            else:
+                self.known[piece] = ids
+        if hard:
+            for piece, found in zip(hard, self.tokenizer.encode_batch_fast([x.decode() for x in hard], add_special_tokens=False), strict=True):
+                self.known[piece] = array(self.code, found.ids).tobytes()
         find = self.known.__getitem__
         return [b"".join(map(find, x)) for x in cut]
 
