@@ -6,16 +6,18 @@ A document's set is its distinct word shingles, hashed once to 64 bits; its sket
 2. Inverted lists of retained values give overlaps. Values that more than ``LIST_ROWS`` classes retain say too little, as
    common word pairs and shared passages do, and are set aside: each class is listed under its ``LISTED`` least others, so
    every list is short, and pairs in it must agree on a third of these.
-3. Classes left with few values of their own, as members of large groups of near copies are, are listed instead under
-   pairs of neighbouring sketch values. Such a list is searched in blocks inside tasks, on full sets, breadth first from
-   member to member; it yields the links of a spanning forest, never all pairs.
+3. Every class with a value set aside is listed also under runs of three neighbouring sketch values, common or not, as two
+   texts may share little else. Short lists give pairs whose sketches agree well enough. A long one is searched in blocks
+   inside tasks: members whose sketch agrees with no other's leave, the rest are compared on full sets, breadth first from
+   member to member; that yields the links of a spanning forest, never all pairs.
 4. The union sketch of a listed pair estimates its similarity; pairs clearly below the threshold go.
 5. The others are confirmed on their full sets, read again from the text of the documents concerned.
 6. Confirmed links make components.
 
-What a sketch leaves out is a matter of chance that the sizes here keep small: a pair right at the threshold is missed
-if its twelve values agree on fewer than four, or its estimate falls 4.5 standard deviations short, or no two
-neighbouring values of sixteen are shared; together about one in 10,000, and far fewer above the threshold.
+What a sketch leaves out is a matter of chance that the sizes here keep small: a pair right at the threshold is missed if
+its estimate falls 4.5 standard deviations short, or if its twelve values agree on fewer than four (6 in 100,000) and one
+of the texts holds no common value or no three neighbouring values of 32 are shared (1.5 in 100,000); far fewer above the
+threshold. Sets of at most 32 shingles always share such a run (those of five or fewer a run of two).
 
 Defined cases: null and empty text, or text without words, has an empty set, links with nothing and stays; a row
 without doc_id can't be named as a component, links with nothing and stays; rows with the same doc_id are one node.
@@ -42,9 +44,6 @@ SKETCH = 32
 POOL = 24
 LISTED = 12
 LIST_ROWS = 32
-#: Fewer values of its own than this, and than half its sketch, make a class one of the dense ones.
-OWN = 8
-NEIGHBOURS = 15
 BLOCK = 1024
 
 
@@ -90,7 +89,7 @@ def sketches(docs: DataFrame, size: int, k: int) -> DataFrame:
 
 
 def _marked(classes: DataFrame, common: bloom.Bloom, repeated: bloom.Bloom) -> DataFrame:
-    """Each class with its own values (few), those of them that may be repeated (keys), and its sketch if it is dense."""
+    """Each class with its own values (few), those of them that may be repeated (keys), and its sketch if it holds common values."""
     held = classes.sparkSession.sparkContext.broadcast((common, repeated))
 
     def mark(batches):
@@ -106,8 +105,7 @@ def _marked(classes: DataFrame, common: bloom.Bloom, repeated: bloom.Bloom) -> D
             rank = np.cumsum(own) - own
             rank = rank - rank[first[owner]] if len(values) else rank
             few = own & (rank < LISTED)
-            n_own = np.bincount(owner[few], minlength=len(size))
-            dense = (n_own < OWN) & (2 * n_own < np.minimum(size, POOL))
+            dense = np.bincount(owner[own], minlength=len(size)) < np.minimum(size, POOL)
             keys = few & repeated.holds(values)
             lists = lambda chosen, kind, of: pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(np.bincount(owner[chosen], minlength=len(size)))), pa.int32()), pa.array(of[chosen], kind))
             short = (values & 0x7FFFFFFF).astype(np.int32)
@@ -117,10 +115,19 @@ def _marked(classes: DataFrame, common: bloom.Bloom, repeated: bloom.Bloom) -> D
     return classes.select("rep", "n", "sketch").mapInArrow(mark, "rep long, n long, few array<int>, keys array<long>, sketch array<long>")
 
 
-def _pairs_of_lists(rows: DataFrame, percent: int) -> DataFrame:
+#: Own values of which a third agree.
+THIRD = "size(array_intersect(x.few, y.few)) >= greatest(1, CAST(least(size(x.few), size(y.few)) / 3 AS INT))"
+
+
+def _least(percent: int) -> tuple[float, float]:
+    """Factors of s and of its root in the least agreement of two sketches, the larger of s values, that step 4 could pass."""
+    t = percent / 100
+    return t, 4.5 * (t * (1 - t)) ** 0.5
+
+
+def _pairs_of_lists(rows: DataFrame, percent: int, agree: str = THIRD) -> DataFrame:
     """Pairs (a, b) within each list of rows (key, rep, n, few) that may reach the threshold; lists are short."""
     lists = rows.groupBy("key").agg(F.collect_list(F.struct("rep", "n", "few")).alias("m")).where("size(m) > 1")
-    agree = "size(array_intersect(x.few, y.few)) >= greatest(1, CAST(least(size(x.few), size(y.few)) / 3 AS INT))"
     pairs_of = f"""flatten(transform(m, (x, i) -> transform(filter(slice(m, i + 2, size(m)), y -> x.rep != y.rep
         AND 100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n) AND {agree}), y -> struct(least(x.rep, y.rep) AS a, greatest(x.rep, y.rep) AS b))))"""
     return lists.select(F.explode(F.expr(pairs_of)).alias("p")).select("p.*")
@@ -158,12 +165,46 @@ def _without(left: np.ndarray, flat: np.ndarray, start: np.ndarray, gone: np.nda
     return left[~gone], flat, np.cumsum(sizes) - sizes
 
 
-def _dense_links(rows: DataFrame, full: DataFrame, percent: int) -> DataFrame:
-    """Confirmed links (a, b) in the lists of rows (key, total, rep), dealt by pairs of blocks of at most about BLOCK members."""
+def _runs(marked: DataFrame, percent: int) -> DataFrame:
+    """(key, rep, n, few, total): classes with a sketch under its runs of three values (and of two in the smallest sets)
+    that ``total`` classes have, with 16 bits of each value."""
+    run = lambda k: f"transform(sequence(1, size(sketch) - {k - 1}), i -> xxhash64({', '.join(f'sketch[i + {j}]' for j in range(-1, k - 1))}))"
+    keys = F.expr(f"CASE WHEN size(sketch) <= {-(-percent // max(1, 100 - percent)) + 1} THEN concat({run(3)}, {run(2)}) ELSE {run(3)} END")
+    held = marked.where("size(sketch) > 2")
+    rows = held.select("rep", F.explode(F.array_distinct(keys)).alias("key"))
+    counts = rows.groupBy("key").agg(F.count("*").alias("total")).where("total > 1")
+    short = held.select("rep", "n", F.expr("transform(sketch, v -> CAST((v & 65535) - 32768 AS SMALLINT))").alias("few"))
+    return rows.join(counts, "key").join(short, "rep").select("key", "rep", "n", "few", "total")
+
+
+def _blocks(rows: DataFrame, percent: int) -> DataFrame:
+    """(key, p, q, rep): rows dealt by pairs of blocks of at most about BLOCK members; those whose sketch agrees with no other's there leave."""
     parts = F.ceil(F.col("total") / BLOCK).cast("long")
     rows = rows.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")))
     other = F.explode(F.filter(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda x: (x != F.col("part")) | (F.col("parts") == 1)))
-    rows = rows.withColumn("other", other).select("key", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "rep")
+    rows = rows.withColumn("other", other).select("key", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "rep", "n", "few")
+    per, root = _least(percent)
+
+    def thin(group: pd.DataFrame) -> pd.DataFrame:
+        size, n = group["few"].str.len().to_numpy(), group["n"].to_numpy()
+        first = np.cumsum(size) - size
+        values = np.concatenate(group["few"].to_list()).astype(np.int64) & 65535
+        flag, stays = np.zeros(65536, np.int8), np.zeros(len(n), bool)
+        for i in range(len(n)):
+            own = values[first[i] : first[i] + size[i]]
+            flag[own] = 1
+            agree = np.add.reduceat(flag[values], first, dtype=np.int64)
+            flag[own] = 0
+            s = np.maximum(size, size[i])
+            near = (agree >= per * s - root * np.sqrt(s)) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i]))
+            stays[i] = near.sum() > 1
+        return group.loc[stays, ["key", "p", "q", "rep"]]
+
+    return rows.groupBy("key", "p", "q").applyInPandas(thin, "key long, p long, q long, rep long")
+
+
+def _dense_links(rows: DataFrame, full: DataFrame, percent: int) -> DataFrame:
+    """Confirmed links (a, b) within the blocks of rows (key, p, q, rep)."""
 
     def search(group: pd.DataFrame) -> pd.DataFrame:
         group = group.drop_duplicates("rep").sort_values("rep", ignore_index=True)
@@ -220,13 +261,13 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, k: int =
     common = bloom.build(values.where(f"c > {LIST_ROWS}"), "value", n_common)
     repeated = bloom.build(values.where(f"c <= {LIST_ROWS}"), "value", n_repeated)
     marked = scratch.keep(_marked(large, common, repeated))
-    listed = scratch.keep(_pairs_of_lists(marked.select("rep", "n", "few", F.explode("keys").alias("key")), percent).distinct())
-    likely = scratch.keep(_estimated(listed, classes, k, percent).select("a", "b"))
-
-    twos = F.expr(f"transform(sequence(1, least({NEIGHBOURS}, size(sketch) - 1)), i -> xxhash64(sketch[i - 1], sketch[i]))")
-    dense = marked.where("size(sketch) > 1").select("rep", F.explode(twos).alias("key"))
-    counts = dense.groupBy("key").agg(F.count("*").alias("total")).where("total > 1")
-    dense = scratch.keep(dense.join(counts, "key"))
+    own_pairs = _pairs_of_lists(marked.select("rep", "n", "few", F.explode("keys").alias("key")), percent)
+    runs = scratch.keep(_runs(marked, percent))
+    per, root = _least(percent)
+    agree = f"size(array_intersect(x.few, y.few)) >= {per} * greatest(size(x.few), size(y.few)) - {root} * sqrt(greatest(size(x.few), size(y.few))) - 1"
+    short = _pairs_of_lists(runs.where(f"total <= {LIST_ROWS}"), percent, agree)
+    likely = scratch.keep(_estimated(own_pairs.union(short).distinct(), classes, k, percent).select("a", "b"))
+    dense = scratch.keep(_blocks(runs.where(f"total > {LIST_ROWS}"), percent))
 
     wanted = scratch.keep(likely.select(F.explode(F.array("a", "b")).alias("rep")).union(dense.select("rep")).distinct())
     full = scratch.keep(_full_sets(wanted, docs, size))

@@ -90,6 +90,17 @@ def test_near_duplicates_of_a_large_group_and_common_pairs(spark):
     assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got) == brute_components(rows, 2)
 
 
+@pytest.mark.parametrize("shared,least,most", [(200, 44, 49), (101, 20, 25)])
+def test_near_duplicates_of_many_copies_that_add_text(spark, shared, least, most):
+    rng = np.random.default_rng(5)
+    base = [f"b{i}" for i in range(shared)]
+    rows = [(0, " ".join(base))] + [(i, " ".join(base + [f"u{i}x{j}" for j in range(rng.integers(least, most + 1))])) for i in range(1, 200)]
+    want = brute_components(rows, 2)
+    assert {x[2] for x in want} == {"0"}
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), size=2).collect()
+    assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got) == want
+
+
 def test_dropping_near_duplicates_keeps_one_row_of_each(docs):
     got = neardup.drop_near_duplicates(docs).collect()
     assert sorted((r.doc_id is None, r.doc_id or 0) for r in got) == [(False, x) for x in (0, 1, 2, 5, 6, 7, 8)] + [(True, 0)] * 2
