@@ -1,16 +1,18 @@
 """Language-model scoring with a log-frequency Bloom filter.
 
 Words of all training text are counted exactly, in a table that grows with the corpus. On them stands a bigram model over
-classes: each of the most frequent words (at most ``VOCABULARY``, by count) is a class, all other words are one more.
-A class pair seen c times goes into a Bloom filter as (pair, 1) ... (pair, q), q = 1 + floor(log2 c); a scorer probes
-levels until one is absent and takes the middle of the last level for c (Talbot and Osborne 2007). The number of class pairs
-bounds the filter, and its size follows the entries up to that bound, so it can be broadcast at any size of the corpus.
+these words, all of them. A bigram seen c times goes into a Bloom filter as (bigram, 1) ... (bigram, q), q = 1 + floor(log2 c);
+a scorer probes levels until one is absent and takes the middle of the last level for c (Talbot and Osborne 2007). The
+filter has ``BITS`` bits for each entry, however many there are: it is cut by hash into blocks of the n-grams of about
+``BLOCK_TOKENS`` tokens, kept as files in the shared folder. A scorer collects the n-grams of many texts (``PROBED``) and
+reads one block at a time, so memory doesn't grow with the corpus; reading grows with texts times filter.
 
-    P(w | u) = (c(u, w) + MU * P(class w)) / (c(u) + MU) * P(w) / P(class w),   P(w) = (c(w) + 1) / (N + V + 1)
+    P(w | u) = (c(u, w) + MU * P(w)) / (c(u) + MU),   P(w) = (c(w) + 1) / (N + V + 1)
 
-where c(u, w) is of classes; a text's first token has P(w). ``base_score`` is the sum of log10 P(w), exact for all words:
-those of count at or above a level that at most ``TOP`` words reach are looked up in the workers, the rest by a join on the
-word. Words are ``[^\x20\x09-\x0D]+`` with A-Z in lower case, compared by 64-bit hashes, and each text ends with one end token.
+A text's first token has P(w). Counts of words at or above a level that at most ``TOP`` words reach are held in the workers;
+in ``score`` the counts of all others come from the filter too. ``base_score`` is the sum of log10 P(w), exact for all words:
+those not held are joined on the word. Words are ``[^\x20\x09-\x0D]+`` with A-Z in lower case, compared by 64-bit hashes,
+and each text ends with one end token.
 
 Null text is empty and has the end token alone. Repeated rows and identifiers are rows of their own. Without training
 text all probabilities are 1 and all scores 0.
@@ -18,6 +20,8 @@ text all probabilities are 1 and all scores 0.
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -25,15 +29,20 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from quillgraph.llm import bloom
-from quillgraph.llm.common import Scratch, fold, table
-from quillgraph.llm.text import Words, slices
+from quillgraph.llm.common import Scratch, fold, shared_dir, table
+from quillgraph.llm.sstable import _open
+from quillgraph.llm.text import Words, mix, pairs, slices
 
+#: Bounds nothing any more: all words have bigrams of their own. Tests still set it.
 VOCABULARY = 4096
 TOP = 400_000
 MU = 50.0
 LEVELS = 64
-#: 64 MB; with (VOCABULARY + 1)**2 pairs at most, about as many bits a level as the filter asks for.
-FILTER_BITS = 1 << 29
+BITS = 12
+PROBES = 5
+BLOCK_TOKENS = 1 << 20
+#: Distinct n-grams that a scorer collects, at least, before it reads the filter.
+PROBED = 3 << 18
 _END = np.uint64(0x9D8F3C2B5A7E6142)
 #: Distinct words that a task holds before it hands them on.
 _HELD = 1 << 21
@@ -91,72 +100,121 @@ def _level():
 
 
 class Model:
-    """Counts of frequent words, classes, and the filter of class pairs."""
+    """Counts of frequent words, and where the blocks of the filter are."""
 
-    def __init__(self, top: pa.Table, n: int, v: int, vocabulary: set[int]):
+    def __init__(self, top: pa.Table, n: int, v: int):
         h, c = top.column("h").to_numpy().view(np.uint64), top.column("c").to_numpy()
         order = np.argsort(h)
         self.hash, self.count, self.n, self.v = h[order], c[order], n, v
-        inside = np.isin(self.hash.view(np.int64), np.fromiter(vocabulary, np.int64, len(vocabulary)))
-        self.classes = int(inside.sum())
-        self.klass = np.where(inside, np.cumsum(inside) - 1, self.classes)
-        own = self.count[inside]
-        p = (own + 1) / (n + v + 1)
-        self.p = np.append(p, max(1 - p.sum(), 1e-12))
-        self.c = np.append(own, n - own.sum())
-        self.pairs: bloom.Bloom | None = None
-
-    def look(self, seq: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct tokens, the place of each token among them, their counts (-1: not a frequent word) and classes."""
-        distinct, inverse = np.unique(seq, return_inverse=True)
+        self.n_blocks = max(1, -(-n // BLOCK_TOKENS))
+        #: Name and segments of each block that has entries.
+        self.folder, self.blocks = "", {}
+
+    def look(self, words: np.ndarray) -> np.ndarray:
+        """The count of each word, -1 where it is not a frequent one."""
         if not len(self.hash):
-            return distinct, inverse, np.full(len(distinct), -1), np.full(len(distinct), self.classes)
-        at = np.minimum(np.searchsorted(self.hash, distinct), len(self.hash) - 1)
-        hit = self.hash[at] == distinct
-        return distinct, inverse, np.where(hit, self.count[at], -1), np.where(hit, self.klass[at], self.classes)
-
-    def codes(self, classes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The class pair that ends at each token but a text's first, and where these stand."""
-        inner = np.ones(len(classes), bool)
-        inner[first[:-1]] = False
-        at = np.flatnonzero(inner)
-        return classes[at - 1] * (self.classes + 1) + classes[at], at
-
-    def pair_counts(self, codes: np.ndarray) -> np.ndarray:
-        """Counts by repeated probes, each the middle of its level, none above the first word's count."""
-        out, left, level = np.zeros(len(codes)), np.arange(len(codes)), 1
-        while len(left) and level < LEVELS:
-            left = left[self.pairs.holds(codes[left] * LEVELS + level)]
-            out[left] = 1.0 if level == 1 else 1.5 * 2 ** (level - 1)
-            level += 1
-        return np.minimum(out, self.c[codes // (self.classes + 1)])
-
-    def gain(self, codes: np.ndarray) -> np.ndarray:
-        """log10 of P(class | class before) / P(class)."""
-        u, w = codes // (self.classes + 1), codes % (self.classes + 1)
-        return np.log10((self.pair_counts(codes) + MU * self.p[w]) / ((self.c[u] + MU) * self.p[w]))
+            return np.full(len(words), -1)
+        at = np.minimum(np.searchsorted(self.hash, words), len(self.hash) - 1)
+        return np.where(self.hash[at] == words, self.count[at], -1)
+
+    def block(self, keys: np.ndarray) -> np.ndarray:
+        return (((keys >> np.uint64(32)) * np.uint64(self.n_blocks)) >> np.uint64(32)).astype(np.int64)
+
+    def counts_of(self, keys: np.ndarray) -> np.ndarray:
+        """Counts of sorted n-grams by repeated probes, each the middle of its level; one block is held at a time."""
+        out = np.zeros(len(keys))
+        cut = np.searchsorted(self.block(keys), np.arange(self.n_blocks + 1))
+        for b, (name, segments) in self.blocks.items():
+            i, j = cut[b], cut[b + 1]
+            if i == j:
+                continue
+            fs, root = _open(self.folder)
+            with fs.open_input_file(f"{root}/{name}") as file:
+                held = bloom.Bloom(np.frombuffer(file.read(), np.uint8), segments, PROBES)
+            for p in range(i, j, _PART):
+                left, level = np.arange(p, min(j, p + _PART)), 1
+                while len(left) and level < LEVELS:
+                    left = left[held.holds(_entries(keys[left], level))]
+                    out[left] = 1.0 if level == 1 else 1.5 * 2 ** (level - 1)
+                    level += 1
+        return out
+
+
+_PART = 1 << 16
+
+
+def _entries(keys: np.ndarray, level) -> np.ndarray:
+    return keys * np.uint64(LEVELS) + np.asarray(level).astype(np.uint64)
+
+
+def word_keys(words: np.ndarray) -> np.ndarray:
+    """What stands for single words in the filter."""
+    return mix(words ^ _END)
+
+
+def _inner(first: np.ndarray) -> np.ndarray:
+    """Where the tokens stand that are not a text's first."""
+    inner = np.ones(first[-1], bool)
+    inner[first[:-1]] = False
+    return np.flatnonzero(inner)
 
 
 def fit(texts: DataFrame, counts: DataFrame) -> Model:
     """A model of ``texts`` (text), whose words ``counts`` counts."""
+    spark = texts.sparkSession
     sizes = counts.groupBy(_level().alias("level")).agg(F.count("*").alias("n"), F.sum("c").alias("c")).collect()
-    by_level = {r.level: r.n for r in sizes}
-    top = _frequent(counts, by_level, TOP).toArrow()
-    vocabulary = {r.h for r in _frequent(counts, by_level, VOCABULARY).select("h").collect()}
-    model = Model(top, sum(r.c for r in sizes), sum(by_level.values()), vocabulary)
-    held = texts.sparkSession.sparkContext.broadcast(model)
+    top = _frequent(counts, {r.level: r.n for r in sizes}, TOP).toArrow()
+    model = Model(top, sum(r.c for r in sizes), sum(r.n for r in sizes))
+    model.folder = f"{shared_dir(spark)}/lm-filter-{uuid.uuid4().hex}"
+    held = spark.sparkContext.broadcast(model)
+
+    def placed(keys, counts):
+        return pa.RecordBatch.from_arrays([pa.array(held.value.block(keys)), pa.array(keys.view(np.int64)), counts], ["b", "h", "c"])
 
-    def codes(column):
+    def bigrams(column):
         seq, first = tokens(column)
-        _, inverse, _, classes = held.value.look(seq)
-        return held.value.codes(classes[inverse], first)[0].astype(np.int64)
-
-    found = texts.select("text").mapInArrow(lambda b: _counted(b, codes), "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
-    entries = found.select(F.explode(F.sequence(F.lit(1).cast("long"), (F.floor(F.log2("c") + F.lit(1e-9)) + 1).cast("long"))).alias("q"), "h").select((F.col("h") * LEVELS + F.col("q")).alias("k"))
-    scratch = Scratch(texts.sparkSession, "lm-pairs")
-    entries = scratch.keep(entries)
-    model.pairs = bloom.build(entries, "k", entries.count(), bits_per_key=12, max_bits=FILTER_BITS, probes=5)
-    scratch.drop()
+        at = _inner(first)
+        return pairs(seq[at - 1], seq[at])
+
+    def of_texts(batches):
+        for batch in _counted(batches, bigrams):
+            yield placed(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64), batch.column(1))
+
+    def of_words(batches):
+        for batch in batches:
+            words = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
+            rare = held.value.look(words) < 0
+            yield placed(word_keys(words[rare]), batch.column(1).filter(pa.array(rare)))
+
+    def fill(batches):
+        parts: dict[int, list] = {}
+        for batch in batches:
+            block, keys, counts = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+            levels = np.frexp(counts.astype(float))[1].astype(np.uint8)  # 1 + floor(log2 c)
+            for b in np.unique(block).tolist():
+                at = block == b
+                parts.setdefault(b, []).append((keys[at].view(np.uint64), levels[at]))
+        for b, found in parts.items():
+            segments = max(1, -(-BITS * sum(int(x.sum(dtype=np.int64)) for _, x in found) // bloom.SEGMENT_BITS))
+            bits = np.zeros(segments * (bloom.SEGMENT_BITS >> 3), np.uint8)
+            for keys, levels in found:
+                for level in range(1, int(levels.max()) + 1):
+                    some = keys[levels >= level]
+                    for p in range(0, len(some), _PART):
+                        segment, bit = bloom.places(_entries(some[p : p + _PART], level), segments, PROBES)
+                        at = (segment[:, None] * bloom.SEGMENT_BITS + bit).ravel()
+                        np.bitwise_or.at(bits, at >> 3, (1 << (at & 7)).astype(np.uint8))
+            fs, root = _open(held.value.folder)
+            fs.create_dir(root, recursive=True)
+            name = f"{b:06d}-{uuid.uuid4().hex}"  # of this attempt; the model names the one that counts
+            with fs.open_output_stream(f"{root}/{name}") as out:
+                out.write(bits.tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array([b], pa.int64()), pa.array([name]), pa.array([segments], pa.int64())], ["b", "name", "segments"])
+
+    made = "b long, h long, c long"
+    rows = texts.select("text").mapInArrow(of_texts, made).union(counts.select("h", "c").mapInArrow(of_words, made))
+    found = rows.repartition(2 * model.n_blocks, "b").groupBy("b", "h").agg(F.sum("c").alias("c"))
+    model.blocks = {r.b: (r.name, r.segments) for r in found.mapInArrow(fill, "b long, name string, segments long").collect()}
     return model
 
 
@@ -168,31 +226,60 @@ def score_texts(docs: DataFrame, model: Model, counts: DataFrame, *columns) -> D
     own = rows.drop("text")
     unit = float(np.log10(model.n + model.v + 1))
 
+    def read(batch):
+        """All of a piece but its score, and what that needs: its words and their counts, its n-grams, and the places of both."""
+        m, n = held.value, batch.num_rows
+        seq, first = tokens(batch.column(0))
+        doc = np.repeat(np.arange(n), np.diff(first))
+        distinct, inverse = np.unique(seq, return_inverse=True)
+        count = m.look(distinct)
+        base = np.bincount(doc, np.log10(np.maximum(count, 0) + 1)[inverse], n)
+        known = np.bincount(doc, (count > 0)[inverse], n)
+        rare = np.flatnonzero((count < 0)[inverse])
+        both, times = np.unique(doc[rare] * np.int64(len(distinct)) + inverse[rare], return_counts=True)
+        cut = pa.array(np.searchsorted(both, np.arange(n + 1) * np.int64(len(distinct))), pa.int32())
+        word = pa.StructArray.from_arrays([pa.array(distinct[both % max(1, len(distinct))].view(np.int64)), pa.array(times.astype(np.int32))], ["h", "t"])
+        columns = [*batch.columns[1:], pa.array(np.diff(first)), pa.array(known.astype(np.int64)), pa.array(base), pa.ListArray.from_arrays(cut, word)]
+        at = _inner(first)
+        keys, place = np.unique(pairs(seq[at - 1], seq[at]), return_inverse=True)
+        return columns, first, distinct[count < 0], count, inverse.astype(np.int32), keys, place.astype(np.int32)
+
+    def scored(pieces, names):
+        m = held.value
+        keys = np.unique(np.concatenate([x for p in pieces for x in (word_keys(p[2]), p[5])]))
+        found = m.counts_of(keys)
+        look = lambda x: found[np.searchsorted(keys, x)]
+        for columns, first, rare, count, inverse, bigrams, place in pieces:
+            c = count.astype(float)
+            c[count < 0] = look(word_keys(rare))
+            p = (c + 1) / (m.n + m.v + 1)
+            log = np.log10(p)[inverse]  # right for first tokens
+            at = _inner(first)
+            u, w = inverse[at - 1], inverse[at]
+            log[at] = np.log10((np.minimum(look(bigrams)[place], c[u]) + MU * p[w]) / (c[u] + MU))
+            score = np.add.reduceat(log, first[:-1])  # no text is without its end token
+            yield pa.RecordBatch.from_arrays([*columns[:-1], pa.array(np.minimum(score, 0.0)), columns[-1]], [*names, "n", "known", "base", "score", "rare"])
+
     def scan(batches):
+        pieces, size = [], 0
         for batch in slices(batches):
-            m, n = held.value, batch.num_rows
-            seq, first = tokens(batch.column(0))
-            doc = np.repeat(np.arange(n), np.diff(first))
-            distinct, inverse, count, classes = m.look(seq)
-            base = np.bincount(doc, np.log10(np.maximum(count, 0) + 1)[inverse], n)
-            known = np.bincount(doc, (count > 0)[inverse], n)
-            codes, at = m.codes(classes[inverse], first)
-            code, place = np.unique(codes, return_inverse=True)
-            gain = np.bincount(doc[at], m.gain(code)[place], n)
-            rare = np.flatnonzero((count < 0)[inverse])
-            both, times = np.unique(doc[rare] * np.int64(len(distinct)) + inverse[rare], return_counts=True)
-            cut = pa.array(np.searchsorted(both, np.arange(n + 1) * np.int64(len(distinct))), pa.int32())
-            word = pa.StructArray.from_arrays([pa.array(distinct[both % max(1, len(distinct))].view(np.int64)), pa.array(times.astype(np.int32))], ["h", "t"])
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(np.diff(first)), pa.array(known.astype(np.int64)), pa.array(base), pa.array(gain), pa.ListArray.from_arrays(cut, word)], [*batch.schema.names[1:], "n", "known", "base", "gain", "rare"])
+            if batch.num_rows:
+                pieces.append(read(batch))
+                size += len(pieces[-1][2]) + len(pieces[-1][5])
+            if size > PROBED:
+                yield from scored(pieces, batch.schema.names[1:])
+                pieces, size = [], 0
+        if pieces:
+            yield from scored(pieces, batch.schema.names[1:])
 
     scratch = Scratch(spark, "lm-scores")
-    made = StructType.fromDDL("n long, known long, base double, gain double, rare array<struct<h: long, t: int>>")
+    made = StructType.fromDDL("n long, known long, base double, score double, rare array<struct<h: long, t: int>>")
     found = scratch.keep(rows.mapInArrow(scan, StructType([*own.schema.fields, *made.fields])))
     rest = found.select("_row", F.explode("rare").alias("r")).select("_row", "r.h", "r.t").join(counts, "h")
     rest = rest.groupBy("_row").agg(F.sum(F.col("t") * F.log10(F.col("c") + 1)).alias("more"), F.sum("t").alias("also"))
     out = found.drop("rare").join(rest, "_row", "left")
     base = F.col("base") + F.coalesce("more", F.lit(0.0)) - F.col("n") * F.lit(unit)
-    return out.select(*own.drop("_row").columns, F.col("n").alias("n_tokens"), (F.col("known") + F.coalesce("also", F.lit(0))).alias("n_known"), F.lit(model.n).cast("long").alias("train_tokens"), base.alias("base_score"), (base + F.col("gain")).alias("score"))
+    return out.select(*own.drop("_row").columns, F.col("n").alias("n_tokens"), (F.col("known") + F.coalesce("also", F.lit(0))).alias("n_known"), F.lit(model.n).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
 
 
 def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:

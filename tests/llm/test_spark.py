@@ -183,6 +183,31 @@ def test_lm_base_score_is_exact(docs, monkeypatch):
     assert all(r.score == r.base_score == 0 for r in lm.score_texts(docs, lm.fit(empty.select("text"), none), none).collect())
 
 
+def test_lm_score_is_of_all_words(spark, monkeypatch):
+    monkeypatch.setattr(lm, "TOP", 20)
+    monkeypatch.setattr(lm, "BLOCK_TOKENS", 3000, raising=False)
+    monkeypatch.setattr(lm, "PROBED", 1000, raising=False)
+    rng = np.random.default_rng(2)
+    texts = [" ".join(f"v{x}" for x in rng.integers(0, 6000, 40)) for _ in range(300)]
+    texts += texts[:100] + [None, "v1 v1 v1"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    counts = lm.word_counts(df)
+    got = {r.doc_id: r.score for r in lm.score_texts(df, lm.fit(df.select("text"), counts), counts).collect()}
+    seqs = [[*words(t), None] for t in texts]
+    one, two = Counter(x for s in seqs for x in s), Counter(p for s in seqs for p in zip(s, s[1:]))
+    n, v = sum(one.values()), len(one)
+    middle = lambda c: 0 if not c else 1 if c == 1 else 1.5 * 2 ** int(math.log2(c))
+    top = {x for x, c in one.items() if x is None or c > 15}
+    off = 0
+    for i, s in enumerate(seqs):
+        c = [one[x] if x in top else middle(one[x]) for x in s]
+        want = math.log10((c[0] + 1) / (n + v + 1))
+        for u, w, cu, cw in zip(s, s[1:], c, c[1:]):
+            want += math.log10((min(middle(two[u, w]), cu) + lm.MU * (cw + 1) / (n + v + 1)) / (cu + lm.MU))
+        off += abs(want - got[i]) > 0.02 * abs(want)  # false positives are rare
+    assert len(got) == len(seqs) and off < 0.05 * len(seqs)
+
+
 def test_toxicity_of_hard_rows(spark, docs):
     labels = spark.createDataFrame([(8, 1), (2, 0), (None, 1), (77, 1)], "doc_id long, toxic int")
     for some in (labels, labels.limit(0)):
