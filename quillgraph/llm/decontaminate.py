@@ -11,6 +11,10 @@ large it is, and all blocks are searched in all texts.
 A window is 13 consecutive words of an item; an item with fewer words, but not none, is one window. Words are
 ``[^\x00-\x2F\x3A-\x60\x7B-\x7F]+`` after lower-casing A-Z, compared by 64-bit hashes. Null and empty texts have no words and
 no hits; a null item_id counts as the empty name, and rows of equal item_id as one item. An empty benchmark hits nothing.
+
+``contaminated`` asks for hits on a twentieth of the document's words. ``affected`` is what ``decontaminate`` removes: every
+document with one whole window of ``WINDOW`` words, however long the document is, and every contaminated one. So an item of
+fewer words, which may be a common phrase, removes only documents of which it is a twentieth. Equal texts get equal results.
 """
 
 from __future__ import annotations
@@ -27,7 +31,7 @@ from quillgraph.llm.text import ALNUM, Words, pairs, slices
 WINDOW = 13
 #: Words of the benchmark in one broadcast block: about 30 MB with its windows.
 BLOCK_WORDS = 1 << 18
-SCHEMA = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, longest_words long, longest_item string, longest_at long"
+SCHEMA = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, longest_words long, longest_item string, longest_at long, affected boolean"
 
 
 def _member(values: np.ndarray, known: np.ndarray) -> np.ndarray:
@@ -126,11 +130,12 @@ def search(words: Words, block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarr
 
 
 def judge(column: pa.Array, held: list, window: int = WINDOW) -> list[tuple]:
-    """For each text: words, hit words, items, their digest, verdict, and the longest match with its item and place."""
+    """For each text: words, hit words, items, their digest, verdict, the longest match with its item and place, and whether it goes."""
     words = Words(column, ALNUM)
     edges = np.zeros(len(words.hash) + 1, np.int64)
     names: list[set] = [set() for _ in range(len(column))]
     best: list[tuple] = [(0, None, None)] * len(column)
+    whole = np.zeros(len(column), bool)
     for one in held:
         block = one.value
         place, size, item, offset = search(words, block)
@@ -138,6 +143,7 @@ def judge(column: pa.Array, held: list, window: int = WINDOW) -> list[tuple]:
             np.add.at(edges, place, 1)
             np.add.at(edges, place + size, -1)
             doc = np.searchsorted(words.first, place, "right") - 1
+            whole[doc[size == window]] = True
             order = np.lexsort((place, place - offset, item, doc))
             doc, item, place, size, line = doc[order], item[order], place[order], size[order], (place - offset)[order]
             new = np.concatenate([[True], (np.diff(doc) != 0) | (np.diff(item) != 0) | (np.diff(line) != 0) | (np.diff(place) != 1)])
@@ -153,7 +159,8 @@ def judge(column: pa.Array, held: list, window: int = WINDOW) -> list[tuple]:
             del one._value  # one block in memory at a time
     covered = np.concatenate([[0], np.cumsum(np.cumsum(edges[:-1]) > 0)])
     hits, sizes = covered[words.first[1:]] - covered[words.first[:-1]], np.diff(words.first)
-    return [(n, h, len(x), hashlib.sha256(",".join(sorted(x)).encode()).hexdigest(), h > 0 and 20 * h >= n, *b) for n, h, x, b in zip(sizes.tolist(), hits.tolist(), names, best, strict=True)]
+    rows = zip(sizes.tolist(), hits.tolist(), names, best, whole.tolist(), strict=True)
+    return [(n, h, len(x), hashlib.sha256(",".join(sorted(x)).encode()).hexdigest(), (c := h > 0 and 20 * h >= n), *b, w or c) for n, h, x, b, w in rows]
 
 
 def contamination(docs: DataFrame, bench: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -162,26 +169,27 @@ def contamination(docs: DataFrame, bench: DataFrame, window: int = WINDOW) -> Da
 
     def scan(batches):
         for batch in slices(batches):
-            columns = list(zip(*judge(batch.column(1), held, window), strict=True)) or [()] * 8
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.int64(), pa.string(), pa.int64())
+            columns = list(zip(*judge(batch.column(1), held, window), strict=True)) or [()] * 9
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.int64(), pa.string(), pa.int64(), pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], [x.split()[0] for x in SCHEMA.split(", ")])
 
     return docs.select("doc_id", "text").mapInArrow(scan, SCHEMA)
 
 
 def decontaminate(docs: DataFrame, bench: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The rows of ``docs``, all columns, whose text isn't contaminated."""
+    """The rows of ``docs``, all columns, whose text isn't affected."""
     held = blocks(bench, window)
 
     def scan(batches):
         for batch in slices(batches):
             text = batch.column(batch.schema.get_field_index("text"))
-            yield batch.filter(pa.array([not x[4] for x in judge(text, held, window)], pa.bool_()))
+            yield batch.filter(pa.array([not x[-1] for x in judge(text, held, window)], pa.bool_()))
 
     return docs.mapInArrow(scan, docs.schema)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the benchmark does not affect; null and empty texts stay, rows of equal text stay or go together."""
     return decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 

@@ -178,8 +178,17 @@ def test_decontamination_matches_brute_force(docs, texts):
 def test_longest_match_and_its_place():
     item = " ".join(f"w{i}" for i in range(30))
     doc = "x y " + " ".join(f"w{i}" for i in range(5, 25)) + " z"
-    ((*_, n, name, at),) = decontaminate.judge(pa.array([doc]), [Held(decontaminate.Block([("7", item)], 13))])
-    assert (n, name, at) == (20, "7", 2)
+    ((*_, n, name, at, gone),) = decontaminate.judge(pa.array([doc]), [Held(decontaminate.Block([("7", item)], 13))])
+    assert (n, name, at, gone) == (20, "7", 2, True)
+
+
+def test_one_whole_window_removes_a_long_document_and_a_short_item_does_not():
+    item = " ".join(f"w{i}" for i in range(40))
+    filler = " ".join(f"f{i}" for i in range(2000))
+    texts = [f"{filler} {' '.join(item.split()[7:20])} {filler}", f"{filler} {' '.join(item.split()[7:19])} {filler}", f"{filler} short item {filler}", "a short item b", None, ""]
+    got = decontaminate.judge(pa.array(texts), [Held(decontaminate.Block([("7", item), ("8", "short item")], 13))])
+    assert [x[-1] for x in got] == [True, False, False, True, False, False]
+    assert [x[4] for x in got] == [False, False, False, True, False, False] and [x[1] for x in got] == [13, 0, 2, 2, 0, 0]
 
 
 def test_languages_are_told_apart_and_parses_are_greedy():
