@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame
 from quillgraph.llm.text import mix
 
 SEGMENT_BITS = 1 << 19
-#: 2**27 bits are 16 MB; a filter with more keys than fit answers yes more often, never no wrongly.
-MAX_BITS = 1 << 27
+#: 2**29 bits are 64 MB; a filter with more keys than fit answers yes more often, never no wrongly.
+MAX_BITS = 1 << 29
 PROBES = 6
 
 

@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a temporary one only where the session names none, as in tests."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
+    """The cluster's checkpoint folder; a temporary one only where the session names none and runs on this machine alone."""
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
-        at = spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="quillgraph-")
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines see")
+        at = tempfile.mkdtemp(prefix="quillgraph-")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(at)
     return at.rstrip("/")
@@ -26,16 +28,18 @@ class Scratch:
         self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self.n = 0
 
-    def keep(self, df: DataFrame) -> DataFrame:
+    def keep(self, df: DataFrame, name: str | None = None) -> DataFrame:
+        """``df``, written and read back, under ``name`` or a number."""
         self.n += 1
-        at = f"{self.root}/{self.n}"
+        at = f"{self.root}/{name or self.n}"
         df.write.parquet(at)
         return self.spark.read.schema(df.schema).parquet(at)
 
-    def drop(self) -> None:
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.root)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+    def drop(self, *names: str) -> None:
+        """Deletes the tables named, or all."""
+        path_of = self.spark._jvm.org.apache.hadoop.fs.Path
+        for path in [path_of(f"{self.root}/{x}") for x in names] or [path_of(self.root)]:
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:

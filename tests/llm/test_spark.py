@@ -101,6 +101,52 @@ def test_near_duplicates_of_many_copies_that_add_text(spark, shared, least, most
     assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got) == want
 
 
+@pytest.mark.parametrize("common", [58, 132])
+def test_pairs_at_the_threshold_under_shared_passages_are_found(spark, common):
+    rng = np.random.default_rng(common)
+    passage = [f"c{i}" for i in range(common)]
+    rows = []
+    for i in range(400):  # two sets of n values that share s of them: s / (2 n - s) just above 0.8
+        mine = [f"m{i}x{j}" for j in range(int(rng.integers(60, 200)))]
+        n = common + len(mine)
+        cut = int(n - 8 * n / 9)  # values that differ, on each side
+        other = mine[: len(mine) - cut] + [f"o{i}x{j}" for j in range(cut)]
+        rows += [(2 * i, " ".join(passage + mine)), (2 * i + 1, " ".join(passage + other))]
+    sets = [{*zip(w, w[1:], strict=False)} for w in (t.split() for _, t in rows)]
+    want = [100 * len(a & b) >= 80 * len(a | b) for a, b in zip(sets[::2], sets[1::2], strict=True)]
+    assert sum(want) > 300 and max(len(a & b) / len(a | b) for a, b in zip(sets[::2], sets[1::2], strict=True)) < 0.82
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), size=2).collect()}
+    assert [got[2 * i + 1] == 2 * i for i in range(400)] == want
+
+
+def test_rows_of_one_identifier_and_other_texts_are_documents_of_their_own(spark):
+    text = lambda x: " ".join(f"{x}{i}" for i in range(50))
+    rows = [(7, text("a")), (7, text("b")), (7, text("b")), (8, text("b")), (3, text("c")), (7, text("c")), (9, "A " + text("d")), (9, "a " + text("d")), (10, ""), (10, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id, r.text[:2], r.component_id) for r in neardup.near_duplicates(df, size=2).join(df, "doc_id").collect() if r.doc_id in (3, 8))
+    assert got == [(3, "c0", 3), (8, "b0", 7)]
+    left = sorted((r.doc_id, r.text[:1].lower()) for r in neardup.drop_near_duplicates(df).collect())
+    assert left == [(3, "c"), (7, "a"), (7, "b"), (9, "a"), (10, ""), (10, "")]
+    assert neardup.drop_near_duplicates(df.limit(0)).count() == neardup.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_long_lists_are_dealt_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "BLOCK", 16)
+    monkeypatch.setattr(neardup, "BLOCK_VALUES", 1500)
+    rng = np.random.default_rng(9)
+    base = [f"b{i}" for i in range(100)]
+    rows = []
+    for i in range(240):  # chains of edits: many components and links that no pivot has
+        w = list(base)
+        for j in rng.choice(100, int(rng.integers(0, 16)), replace=False):
+            w[j] = f"r{i}x{j}"
+        rows.append((i, " ".join(w)))
+    want = brute_components(rows, 2)
+    assert len({x[2] for x in want}) > 3
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), size=2).collect()
+    assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got) == want
+
+
 def test_dropping_near_duplicates_keeps_one_row_of_each(docs):
     got = neardup.drop_near_duplicates(docs).collect()
     assert sorted((r.doc_id is None, r.doc_id or 0) for r in got) == [(False, x) for x in (0, 1, 2, 5, 6, 7, 8)] + [(True, 0)] * 2
