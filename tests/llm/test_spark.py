@@ -172,6 +172,41 @@ def test_mixing(docs):
     assert np.allclose([w[0] + w[1], w[0] + w[2], w.sum()], [0.7, 0.5, 1])
 
 
+def test_capped_raking_meets_feasible_targets_and_names_others():
+    rng = np.random.default_rng(4)
+    cells = [(a, b, c) for a in "pqrs" for b in "xyz" for c in "mn"]
+    tokens = rng.integers(500, 5000, len(cells)).astype(float)
+    share = lambda k: {v: sum(t for t, c in zip(tokens, cells, strict=True) if c[k] == v) / tokens.sum() for v in {c[k] for c in cells}}
+    targets = [{v: x * (1.3 if i % 2 else 0.8) for i, (v, x) in enumerate(sorted(share(k).items()))} for k in range(3)]
+    w = mixing.rake(tokens, cells, targets, budget=0.6)
+    assert (w <= tokens / tokens.sum() / 0.6 + 1e-12).all()
+    for k, target in enumerate(targets):
+        for v, x in target.items():
+            assert abs(sum(y for y, c in zip(w, cells, strict=True) if c[k] == v) - x / sum(target.values())) < 2e-3
+    goal = mixing.reachable(np.array([0.5, 0.3, 0.2]), np.array([0.1, 0.9, 0.9]))
+    assert np.allclose(goal, [0.1, 0.54, 0.36])
+    assert mixing.reachable(np.array([1.0]), np.array([0.5])).tolist() == [0.5] and len(mixing.rake(np.zeros(0), [], targets, budget=0.5)) == 0
+
+
+def test_the_sample_reaches_its_targets(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, " ".join(["word"] * int(rng.integers(5, 40))) + (" | x | y" if rng.random() < 0.1 else ""), rng.choice(["en", "de"], p=[0.7, 0.3]), rng.choice(["a", "b", "c"], p=[0.5, 0.3, 0.2])) for i in range(6000)]
+    rows += [(1, "word word", None, None), (1, "word word", None, None), (None, None, "en", "a"), (None, "", None, "a")]
+    df = spark.createDataFrame([(i, t, str(x) if x else None, str(y) if y else None) for i, t, x, y in rows], "doc_id long, text string, lang string, source string")
+    targets = {"source": {"a": 0.4, "b": 0.35, "c": 0.24, "other": 0.01}, "lang": {"en": 0.6, "de": 0.39, "other": 0.01}, "topic": {"prose": 0.87, "tabular": 0.13}}
+    taken = mixing.mixed(df, targets, budget=0.5)
+    n = taken.selectExpr("greatest(1, size(split(coalesce(text, ''), ' '))) AS n", "source", "lang", "text").toPandas()
+    for column, goals in (("source", targets["source"]), ("lang", targets["lang"])):
+        for v, x in goals.items():
+            if v != "other":
+                assert abs(n.loc[n[column] == v, "n"].sum() / n["n"].sum() - x) < 0.03
+    assert abs(n.loc[n["text"].fillna("").str.contains("|", regex=False), "n"].sum() / n["n"].sum() - 0.13) < 0.03
+    ones = [r for r in taken.collect() if r.doc_id == 1 and r.lang is None]
+    assert len(ones) in (0, 2)  # rows of one identifier and cell go together
+    empty = spark.createDataFrame([], "source_class string, lang_class string, topic string, n_tokens long, taken boolean")
+    assert mixing.achieved(empty).count() == 0
+
+
 def test_shards_are_exact_and_gapless(docs):
     got = sharding.shard_rows(docs, 4).collect()
     sizes = Counter(r.shard for r in got)
@@ -272,9 +307,26 @@ def test_pipeline_stages_keep_columns(spark, tmp_path):
     assert {r.doc_id for r in out.collect()} <= {2, 5, 9, None}
 
 
+def test_the_cascade_stops_at_the_first_rule(docs):
+    boom = quality.Rule("boom", "CAST(raise_error('reached') AS BOOLEAN)")
+    reason = quality.cascade([quality.Rule("all", "octet_length(coalesce(text, '')) >= 0"), boom], {})
+    assert {r[0] for r in docs.select(F.expr(reason)).collect()} == {"all"}
+    assert {r[0] for r in docs.select(F.expr(quality.cascade([], {}))).collect()} == {None}
+
+
+def test_dear_rules_that_reject_little_come_late(spark):
+    df = spark.createDataFrame([(" ".join(f"w{i * j % 97}" for i in range(300)),) for j in range(400)], "text string")
+    dear = quality.Rule("dear", "{n_repeat_words} < 0")
+    some = quality.Rule("some", "{n_symbols} = 0 AND {n_words} > 0")
+    order = quality.order_rules(df, (dear, quality.Rule("none", "{n_words} < 0"), some))
+    assert order[0][0] == some and order[0][2] == 1 and {share for _, _, share in order[1:]} == {0}
+    cost = {r.name: c for r, c, _ in order}
+    assert cost["dear"] > 5 * cost["none"]
+
+
 def test_rules_are_ordered_on_a_bounded_sample(docs):
     for some in (docs, docs.limit(0)):
-        order = quality.order_rules(some, sample_rows=5)
+        order = quality.order_rules(some, sample_rows=5, given=quality.RETURNED)
         assert {r for r, _, _ in order} == {*quality.RULES} and all(cost > 0 and 0 <= share <= 1 for _, cost, share in order)
 
 
