@@ -201,6 +201,41 @@ def test_languages_are_told_apart_and_parses_are_greedy():
     assert langid.Model({}).predict(pa.array(["a"]), np.array([True]))[0] == ["und"]
 
 
+def brute_phrases(sample: bytes, text: bytes) -> int:
+    """Greedy longest matches of ``text`` in ``sample``, both as classes."""
+    n = i = 0
+    while i < len(text):
+        size = 1
+        if text[i : i + 1] in sample:
+            while i + size < len(text) and text[i : i + size + 1] in sample:
+                size += 1
+        i, n = i + size, n + 1
+    return n
+
+
+@settings(max_examples=40, deadline=None)
+@example(["ab" * 900, "é" * 700], "abab" * 200, 8)
+@given(st.lists(st.one_of(st.none(), st.text(alphabet="abcé. Z", max_size=90)), max_size=6), st.text(alphabet="abcé. ", min_size=1, max_size=60), st.integers(2, 16))
+def test_phrases_are_those_of_whole_texts(texts, sample, stretch):
+    old = langid.STRETCH, langid.LEAD
+    langid.STRETCH, langid.LEAD = stretch, 2
+    try:
+        model = langid.Model({"x": sample.encode(), "y": b"bca ab"})
+        got = model.costs(pa.array(texts, pa.string()))
+    finally:
+        langid.STRETCH, langid.LEAD = old
+    classes = lambda b: model.classes[np.frombuffer(b, np.uint8)].astype(np.uint8).tobytes()
+    for j, one in enumerate((sample.encode(), b"bca ab")):
+        for i, t in enumerate(texts):
+            assert got[i, j] == pytest.approx(brute_phrases(classes(one), classes((t or "").encode())) * model.weights[j])
+
+
+def test_ties_go_to_the_first_language_and_long_texts_are_parsed_whole():
+    model = langid.Model({"b": b"abcd " * 9, "a": b"abcd " * 9})
+    lang, score = model.predict(pa.array(["abcd abc", "abcd " * 200_000]), np.array([True, True]))
+    assert lang == ["a", "a"] and score.tolist() == [0, 0]
+
+
 def test_nnpu_learns_from_positives_and_unlabelled():
     rng = np.random.default_rng(0)
     toxic = rng.random(900) < 0.3

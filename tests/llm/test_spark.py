@@ -7,6 +7,7 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -249,6 +250,15 @@ def test_language_of_hard_rows(docs):
     assert {r.lang_pred for r in langid.identify(docs, langid.fit(docs.limit(0).select("text", "lang"))).collect()} == {"und"}
 
 
+def test_languages_of_short_and_of_long_texts_are_learned_and_copies_count_once(spark):
+    rows = [(f"kurz wort {i}", "de") for i in range(5)] + [(" ".join(f"longue{i}" for i in range(3000)), "fr")] + [("same english text here " * 20, "en")] * 300
+    rows += [("other plain words follow now " * 12 + str(i), "en") for i in range(3)] + [("...", "xx"), (None, "yy"), ("", "zz")]
+    model = langid.fit(spark.createDataFrame(rows, "text string, lang string"), rows=4)
+    assert model.langs == ["de", "en", "fr"]
+    got = model.predict(pa.array(["kurz wort", "longue7 longue9", "plain words", "english text"]), np.ones(4, bool))[0]
+    assert got == ["de", "fr", "en", "en"]
+
+
 def test_lm_base_score_is_exact(docs, monkeypatch):
     monkeypatch.setattr(lm, "TOP", 20)
     monkeypatch.setattr(lm, "VOCABULARY", 10)
