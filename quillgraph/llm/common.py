@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -21,6 +22,16 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+def arrow_uri(spark: SparkSession, folder: str) -> str:
+    """``folder`` as Arrow's file systems name it on any machine: with the scheme of the cluster's default store where it has none."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    store = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    uri = store.makeQualified(path)
+    if uri.toUri().getScheme() == "viewfs":
+        uri = spark._jvm.org.apache.hadoop.fs.Path(store.resolvePath(uri.getParent()), uri.getName())
+    return re.sub(r"^s3[an]:", "s3:", re.sub(r"^file:/+", "file:///", uri.toString()))
+
+
 class Scratch:
     """Tables written under the shared folder: they cut lineage and outlive executors."""
 

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from quillgraph.llm import bloom
-from quillgraph.llm.common import Scratch, fold, shared_dir, table
+from quillgraph.llm.common import Scratch, arrow_uri, fold, shared_dir, table
 from quillgraph.llm.sstable import _open
 from quillgraph.llm.text import Words, mix, pairs, slices
 
@@ -165,7 +165,7 @@ def fit(texts: DataFrame, counts: DataFrame) -> Model:
     sizes = counts.groupBy(_level().alias("level")).agg(F.count("*").alias("n"), F.sum("c").alias("c")).collect()
     top = _frequent(counts, {r.level: r.n for r in sizes}, TOP).toArrow()
     model = Model(top, sum(r.c for r in sizes), sum(r.n for r in sizes))
-    model.folder = f"{shared_dir(spark)}/lm-filter-{uuid.uuid4().hex}"
+    model.folder = arrow_uri(spark, f"{shared_dir(spark)}/lm-filter-{uuid.uuid4().hex}")
     held = spark.sparkContext.broadcast(model)
 
     def placed(keys, counts):

@@ -18,7 +18,6 @@ from __future__ import annotations
 
 import bisect
 import os
-import re
 import struct
 import unicodedata
 import uuid
@@ -34,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import shared_dir, table
+from quillgraph.llm.common import arrow_uri, shared_dir, table
 from quillgraph.llm.text import slices
 
 MAGIC = b"QSST0001"
@@ -43,7 +42,7 @@ BLOCK_BYTES = 1 << 17
 FOOTER = struct.Struct("<QQQQQQI8s")
 END_ID = 2
 #: Pieces whose ids a worker remembers, at most about this many.
-CACHE_PIECES = 500_000
+CACHE_PIECES = 1_000_000
 
 
 def key_of(doc_id: int | None) -> bytes:
@@ -182,13 +181,23 @@ class Table:
         return out
 
 
+class _Known(dict):
+    """Pieces with their ids; those asked for the first time are learned."""
+
+    def __init__(self, learn):
+        self.learn = learn
+
+    def __missing__(self, piece: bytes) -> bytes:
+        ids = self[piece] = self.learn(piece)
+        return ids
+
+
 class Encoder:
     """Ids of whole texts, from a vocabulary whose pieces never cross white space, by remembering pieces.
 
     Text is cut at ASCII white space, where the vocabulary's own pattern cuts too. Where text is in normal form C, before
     and after lower-casing A-Z, pieces are lower-cased first, as the vocabulary itself does. An unknown piece of letters,
-    or of letters and one mark at its end, goes straight to the library's model; others go through its whole encoder
-    together.
+    or of letters and one mark at its end, goes straight to the library's model; others go through its whole encoder.
     """
 
     def __init__(self, path: str, limit: int = CACHE_PIECES):
@@ -197,7 +206,7 @@ class Encoder:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         self.tokenizer, self.limit = Tokenizer.from_file(path), limit
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
-        self.known: dict[bytes, bytes] = {}
+        self.known = _Known(self._learn)
         self.model = self.tokenizer.model
         self.code = "H" if self.width == 2 else "I"
         self.marks = {x: self._ids(x) for x in ".,"}
@@ -218,47 +227,43 @@ class Encoder:
             return data.split()
         return low.split()
 
-    def _learn(self, piece: bytes) -> bytes | None:
-        """Ids of a piece of letters, with a mark at its end or without; None for others."""
+    def _learn(self, piece: bytes) -> bytes:
         if piece.isalpha():  # ASCII alone
             return self._of_letters(piece.decode().lower())
         text = piece.decode()
-        mark = self.marks.get(text[-1], b"") if len(text) > 1 else b""
-        body = text[:-1] if mark else text
-        if not body.isalpha() or "\u03a3" in body or "\u0130" in body or not unicodedata.is_normalized("NFC", body):
-            return None
-        body = body.lower()
-        return self._of_letters(body if body.isascii() else body.encode().decode("latin-1").translate(self.letters)) + mark
+        mark = self.marks.get(text[-1])
+        if mark and piece[:-1].isalpha():
+            return self.known[piece[:-1]] + mark
+        if "\u03a3" in text or "\u0130" in text or not unicodedata.is_normalized("NFC", text):
+            return self._ids(text)
+        if mark and text[:-1].isalpha():
+            return self.known[piece[:-1]] + mark
+        if not text.isalpha():
+            return self._ids(text)
+        low = text.lower()
+        return self._of_letters(low if low.isascii() else low.encode().decode("latin-1").translate(self.letters))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        cut = [self.pieces(x or "") for x in texts]
         if len(self.known) > self.limit:
             self.known.clear()
-        hard = []
-        for piece in set().union(*cut).difference(self.known):
-            if (ids := self._learn(piece)) is None:
-                hard.append(piece)
-            else:
-                self.known[piece] = ids
-        if hard:
-            for piece, found in zip(hard, self.tokenizer.encode_batch_fast([x.decode() for x in hard], add_special_tokens=False), strict=True):
-                self.known[piece] = array(self.code, found.ids).tobytes()
         find = self.known.__getitem__
-        return [b"".join(map(find, x)) for x in cut]
+        return [b"".join(map(find, self.pieces(x or ""))) for x in texts]
 
 
 _encoders: dict[str, Encoder] = {}
 
 
 def _open(uri: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(uri if re.match(r"\w+:/", uri) else f"file://{uri}")
+    return pafs.FileSystem.from_uri(uri)
 
 
 def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END_ID) -> list[tuple[int, str, int, int]]:
     """Writes ``docs`` (doc_id, text) under ``folder`` in ascending order over shards: number, file, documents and ids of each.
 
     A shard is written under a name of its own attempt and then renamed, so a task that runs again leaves one whole file.
+    Ranges are of identifiers and beginnings of texts, so that many rows of one identifier, or of none, fill several shards.
     """
+    folder = arrow_uri(docs.sparkSession, folder)
 
     def write(batches):
         encoder = _encoders.setdefault(tokenizer, None) or Encoder(tokenizer)
@@ -283,12 +288,13 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END
             fs.move(own, at)
             yield pa.RecordBatch.from_pydict({"shard": [shard], "path": [f"shard-{shard:06d}.sst"], "docs": [writer.docs], "ids": [writer.ids]}, pa.schema([("shard", pa.int64()), ("path", pa.string()), ("docs", pa.int64()), ("ids", pa.int64())]))
 
-    rows = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    rows = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange("doc_id", F.substring("text", 1, 32)).sortWithinPartitions("doc_id", "text")
     return sorted(map(tuple, rows.mapInArrow(write, "shard long, path string, docs long, ids long").collect()))
 
 
 def read_shards(spark: SparkSession, folder: str, shards: list[tuple[int, str, int, int]]) -> DataFrame:
     """doc_id, start, n_tokens and ids_crc32 of every document, from the files; one task per file."""
+    folder = arrow_uri(spark, folder)
     starts = np.cumsum([0, *(x[3] for x in shards)]).tolist()
 
     def read(batches):

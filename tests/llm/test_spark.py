@@ -232,6 +232,13 @@ def test_token_shards(spark, docs, tmp_path):
         start += len(ids)
     assert [tuple(r) for r in sorted(got, key=lambda r: r.start)] == want
     assert sstable.read_shards(spark, "file:///none", []).count() == 0
+    assert sstable.write_shards(docs.limit(0), f"{tmp_path}/e", path) == []
+    same = spark.createDataFrame([(None, f"text {i:05d}") for i in range(4000)], "doc_id long, text string").repartition(4)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    several = sstable.write_shards(same, f"{tmp_path}/s", path)
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(several) > 1 and sum(x[2] for x in several) == 4000
+    assert sorted(r.start for r in sstable.read_shards(spark, f"{tmp_path}/s", several).collect())[0] == 0
 
 
 def test_decontamination(spark, docs):
