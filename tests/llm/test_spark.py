@@ -268,7 +268,6 @@ def test_languages_of_short_and_of_long_texts_are_learned_and_copies_count_once(
 
 def test_lm_base_score_is_exact(docs, monkeypatch):
     monkeypatch.setattr(lm, "TOP", 20)
-    monkeypatch.setattr(lm, "VOCABULARY", 10)
     counts = lm.word_counts(docs)
     got = lm.score_texts(docs, lm.fit(docs.select("text"), counts), counts).collect()
     c = Counter(x for r in ROWS for x in [*words(r[1]), None])
@@ -283,8 +282,8 @@ def test_lm_base_score_is_exact(docs, monkeypatch):
 
 def test_lm_score_is_of_all_words(spark, monkeypatch):
     monkeypatch.setattr(lm, "TOP", 20)
-    monkeypatch.setattr(lm, "BLOCK_TOKENS", 3000, raising=False)
-    monkeypatch.setattr(lm, "PROBED", 1000, raising=False)
+    monkeypatch.setattr(lm, "BLOCK_TOKENS", 3000)
+    monkeypatch.setattr(lm, "BATCH_ROWS", 37)
     rng = np.random.default_rng(2)
     texts = [" ".join(f"v{x}" for x in rng.integers(0, 6000, 40)) for _ in range(300)]
     texts += texts[:100] + [None, "v1 v1 v1"]
