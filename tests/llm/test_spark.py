@@ -280,14 +280,15 @@ def test_lm_base_score_is_exact(docs, monkeypatch):
     assert all(r.score == r.base_score == 0 for r in lm.score_texts(docs, lm.fit(empty.select("text"), none), none).collect())
 
 
-def test_lm_score_is_of_all_words(spark, monkeypatch):
+def test_lm_score_is_of_all_words(spark, monkeypatch, tmp_path):
     monkeypatch.setattr(lm, "TOP", 20)
     monkeypatch.setattr(lm, "BLOCK_TOKENS", 3000)
-    monkeypatch.setattr(lm, "BATCH_ROWS", 37)
+    monkeypatch.setattr(lm, "PROBED", 900)
     rng = np.random.default_rng(2)
     texts = [" ".join(f"v{x}" for x in rng.integers(0, 6000, 40)) for _ in range(300)]
     texts += texts[:100] + [None, "v1 v1 v1"]
-    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/t")
+    df = spark.read.parquet(f"{tmp_path}/t")
     counts = lm.word_counts(df)
     got = {r.doc_id: r.score for r in lm.score_texts(df, lm.fit(df.select("text"), counts), counts).collect()}
     seqs = [[*words(t), None] for t in texts]
