@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from quillgraph.llm.common import table
-from quillgraph.llm.text import ALNUM, Words, pairs, slices
+from quillgraph.llm.text import ALNUM, Words, distinct, pairs, slices
 
 WINDOW = 13
 #: Words of the benchmark in one broadcast block: about 30 MB with its windows.
@@ -54,10 +54,10 @@ class Block:
     def __init__(self, items: list[tuple[str, str]], window: int):
         self.names = [name for name, _ in items]
         words = Words(pa.array([text for _, text in items], pa.string()), ALNUM)
-        self.vocabulary = np.unique(words.hash)
+        self.vocabulary = distinct(words.hash)
         ids = _member(words.hash, self.vocabulary) + 1
         two = np.concatenate([pairs(words.hash[a : max(a, b - 1)], words.hash[a + 1 : b]) for a, b in zip(words.first, words.first[1:], strict=False)]) if items else np.zeros(0, np.uint64)
-        self.pairs = np.unique(two)
+        self.pairs = distinct(two)
         spans: dict[int, list[tuple[int, int, int]]] = {}
         for item, (a, b) in enumerate(zip(words.first, words.first[1:], strict=False)):
             size = min(window, b - a)

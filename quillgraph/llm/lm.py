@@ -41,6 +41,7 @@ from quillgraph.llm import bloom
 from quillgraph.llm.common import Scratch, arrow_uri, fold, shared_dir, table
 from quillgraph.llm.sstable import _open
 from quillgraph.llm.text import Words, mix, pairs, slices
+from quillgraph.llm.text import distinct as sorted_set
 
 TOP = 400_000
 MU = 50.0
@@ -285,8 +286,8 @@ def _questions(model: Model, column: pa.Array) -> np.ndarray:
     """The n-grams of texts whose counts aren't held."""
     seq, first = tokens(column)
     at = _inner(first)
-    distinct = np.unique(seq)
-    return np.concatenate([word_keys(distinct[model.look(distinct) < 0]), np.unique(pairs(seq[at - 1], seq[at]))])
+    distinct = sorted_set(seq)
+    return np.concatenate([word_keys(distinct[model.look(distinct) < 0]), sorted_set(pairs(seq[at - 1], seq[at]))])
 
 
 def _answered(rows: DataFrame, held, folder: str) -> None:
@@ -296,7 +297,7 @@ def _answered(rows: DataFrame, held, folder: str) -> None:
         model, parts, size = held.value, [], 0
 
         def asked():
-            keys = np.unique(np.concatenate(parts))
+            keys = sorted_set(np.concatenate(parts))
             if len(keys):
                 block = model.block(keys)
                 cuts = [0, *(np.flatnonzero(block[1:] != block[:-1]) + 1).tolist(), len(keys)]
@@ -366,7 +367,7 @@ def score_texts(docs: DataFrame, model: Model, counts: DataFrame, *columns) -> D
 
     def scored(pieces, names, folder):
         m = held.value
-        keys = np.unique(np.concatenate([x for p in pieces for x in (p[2], p[5])]))
+        keys = sorted_set(np.concatenate([x for p in pieces for x in (p[2], p[5])]))
         levels = np.frombuffer((_read_file(folder, _digest(keys)) if len(keys) else None) or b"", np.uint8)
         if len(levels) != len(keys):
             raise Moved(Moved.__doc__)

@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 from quillgraph.llm import bloom
 from quillgraph.llm.common import Scratch, fresh, own, table
 from quillgraph.llm.components import components
-from quillgraph.llm.text import Words, mix, pairs, slices
+from quillgraph.llm.text import Words, distinct, mix, pairs, slices
 
 SKETCH = 32
 #: Sketch values that may be listed, and how many of them are.
@@ -64,7 +64,7 @@ def sets_of(column: pa.Array, size: int) -> list[np.ndarray]:
     out = []
     for a, b in zip(words.first.tolist(), words.first[1:].tolist(), strict=False):
         if b - a >= size:
-            s = np.unique(grams[a : b - size + 1].view(np.int64))
+            s = distinct(grams[a : b - size + 1].view(np.int64))
         elif b > a:
             whole = h[a : a + 1]
             for i in range(a + 1, b):

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from quillgraph.llm.common import fold, table
-from quillgraph.llm.text import LOWER, SPACED, Words, mix, slices
+from quillgraph.llm.text import LOWER, SPACED, Words, distinct, mix, slices
 
 BUCKETS = 1 << 20
 GRAM = 6
@@ -73,7 +73,7 @@ class Model:
         doc, at = buckets(column)
         feature = self.place[at]
         hit = feature >= 0
-        both = np.unique(doc[hit] * np.int64(len(self.chosen) + 1) + feature[hit])
+        both = distinct(doc[hit] * np.int64(len(self.chosen) + 1) + feature[hit])
         return both // (len(self.chosen) + 1), both % (len(self.chosen) + 1)
 
     def scores(self, column: pa.Array) -> np.ndarray:
@@ -140,7 +140,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
         for batch in slices(batches):
             side = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             doc, at = buckets(batch.column(1))
-            both = np.unique(doc * np.int64(BUCKETS) + at)
+            both = distinct(doc * np.int64(BUCKETS) + at)
             for k in (0, 1):
                 texts[k] += np.bincount(both[side[both // BUCKETS] == k] % BUCKETS, minlength=BUCKETS).astype(np.int32)
                 sizes[k] += (side == k).sum()
