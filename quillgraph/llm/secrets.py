@@ -3,12 +3,14 @@
 Three base kinds are patterns alone (``assign``, ``access``, ``hex``). The structural kinds are reported only
 after a candidate has been decoded and its inside parsed:
 
-- ``jwt``: three base64url parts; the first decodes to a JSON object with a text ``alg``, the second to a JSON object.
+- ``jwt``: three base64url parts; the first decodes to a JSON object with a text ``alg``, the second to a JSON object. Or
+  five parts whose first has a text ``alg`` and ``enc`` and whose others decode (the second may be empty).
 - ``pem``: an armoured key whose body is base64 of a key encoding (below) or of an encrypted one.
-- ``key``: a bare base64 or hex run that decodes to a key encoding: DER whose nested lengths fill the run exactly
-  (RSA, PKCS#8, EC), or an OpenSSH private key whose nested length-prefixed strings stay within it.
+- ``key``: a bare base64 or hex run, or base64 folded into lines of one width (the last may be shorter), that decodes to a key
+  encoding: DER whose nested lengths fill the run exactly (RSA, PKCS#8, EC), or an OpenSSH private key whose nested
+  length-prefixed strings stay within it.
 - ``nested``: a base64 or hex run that decodes to printable ASCII in which one of the kinds above is confirmed,
-  or an access or assign match stands.
+  or an access or assign match stands. Runs within are decoded in turn, as deep as they go: each is shorter by a quarter.
 
 Spans are code points, end exclusive. Null and empty text has no spans. Rows with equal texts give equal results;
 other columns are neither read nor returned.
@@ -36,10 +38,17 @@ _ASSIGN = re.compile(r"""(?i:(?:password|passwd|secret|token|api_?key))["']?\x20
 # A run shorter than the bound cannot hold a longer match, so the bound may stand in the pattern.
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 _HEX = re.compile(r"[0-9a-f]{24,}")
-_JWT = re.compile(r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]{5,})\.([A-Za-z0-9_-]{2,})\.([A-Za-z0-9_-]*)")
+#: A JSON object's first bytes, white space before or in it, begin so in base64; parsing decides.
+_JWT = re.compile(r"(?<![A-Za-z0-9_-])((?:e[yw]|[ICD])[A-Za-z0-9_-]{5,})\.([A-Za-z0-9_-]*)\.([A-Za-z0-9_-]*)(?:\.([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+))?")
 _BEGIN = re.compile(r"-----BEGIN ([A-Z0-9 ]{0,40}PRIVATE KEY)-----")
 _ARMOUR = re.compile(r"[A-Za-z0-9+/=\s:,\\-]+", re.ASCII)
 _RUN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{32,}={0,2}")
+#: The first line of a folded key: DER begins with a sequence, OpenSSH's encoding with its name.
+_HEAD = re.compile(r"(?<![A-Za-z0-9+/])(?:M|b3BlbnNzaC)[A-Za-z0-9+/]{22,}(?=\r?\n[ \t]*[A-Za-z0-9+/])")
+_LINE = re.compile(r"\r?\n[ \t]*([A-Za-z0-9+/]+={0,2})")
+#: What every run of hex or base64 holds that is looked for; most texts have none, and are read once for all of them.
+_ANYRUN = re.compile(r"[A-Za-z0-9+/_-]{24}")
+_DOTS = re.compile(r"\.[A-Za-z0-9_-]*\.")
 _ANYHEX = re.compile(r"(?:[0-9a-fA-F]{2}){16,}")
 SCHEMA = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_structural long"
 
@@ -126,37 +135,70 @@ def _armoured(text: str):
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
     """Start, end and kind of the pattern matches."""
-    out = [(m.start(), m.end(), "assign") for m in _ASSIGN.finditer(text) if m.end(1) - m.start(1) >= 6]
+    out = []
+    if ":" in text or "=" in text:
+        out += [(m.start(), m.end(), "assign") for m in _ASSIGN.finditer(text) if m.end(1) - m.start(1) >= 6]
     if "AKIA" in text:
         out += [(m.start(), m.end(), "access") for m in _ACCESS.finditer(text)]
-    return out + [(m.start(), m.end(), "hex") for m in _HEX.finditer(text)]
+    if _ANYRUN.search(text):
+        out += [(m.start(), m.end(), "hex") for m in _HEX.finditer(text)]
+    return out
 
 
-def structural_spans(text: str, depth: int = 0) -> list[tuple[int, int, str]]:
+def _token(m: re.Match) -> int | None:
+    """Where the signed or encrypted token of a match ends; None if it is none."""
+    head = _object(m[1])
+    if not head or not isinstance(head.get("alg"), str):
+        return None
+    if isinstance(head.get("enc"), str):
+        return m.end() if m[5] and all(_unbase64(x) for x in m.groups()[2:]) and (not m[2] or _unbase64(m[2])) else None
+    return m.end(3) if _object(m[2]) is not None and (not m[3] or _unbase64(m[3])) else None
+
+
+def _folded(text: str):
+    """Start and end of base64 in lines of one width, the last of them no longer, that is a key; no line is read twice."""
+    at = 0
+    while m := _HEAD.search(text, at):
+        parts, ends, width = [m[0]], [m.end()], len(m[0])
+        while len(parts[-1]) == width and (line := _LINE.match(text, ends[-1])) and len(line[1]) <= width:
+            parts.append(line[1])
+            ends.append(line.end())
+        at = ends[-1]
+        for k in {len(parts), len(parts) - 1} - {0, 1}:  # the last may be a word of the text
+            data = _unbase64("".join(parts[:k]))
+            if data and is_key(data):
+                yield m.start(), ends[k - 1]
+                break
+
+
+def structural_spans(text: str) -> list[tuple[int, int, str]]:
     """Start, end and kind of what decoding and parsing confirms."""
     out = []
-    if "eyJ" in text:
-        for m in _JWT.finditer(text):
-            head = _object(m[1])
-            if head and isinstance(head.get("alg"), str) and _object(m[2]) is not None and (not m[3] or _unbase64(m[3])):
-                out.append((m.start(), m.end(), "jwt"))
+    for m in _JWT.finditer(text) if _DOTS.search(text) else ():
+        if end := _token(m):
+            out.append((m.start(), end, "jwt"))
     if "-----BEGIN" in text:
         for start, end, armour in _armoured(text):
             body = "".join(x for x in armour.split("\n") if ":" not in x)
             data = _unbase64("".join(body.split()))
             if data and (is_key(data) or "DEK-Info" in armour and len(data) % 8 == 0):
                 out.append((start, end, "pem"))
+    if not _ANYRUN.search(text):
+        return out
+    free = lambda start, end: (i := bisect.bisect_left(starts, end) - 1) < 0 or taken[i][1] <= start
+    taken = sorted(out)  # they don't overlap, nor do the matches of one pattern
+    starts = [s for s, _, _ in taken]
+    out += [(start, end, "key") for start, end in _folded(text) if free(start, end)]
     for pattern, decode in ((_RUN, _unbase64), (_ANYHEX, bytes.fromhex)):
-        taken = sorted(out)  # they don't overlap, nor do the matches of one pattern
+        taken = sorted(out)
         starts = [s for s, _, _ in taken]
         for m in pattern.finditer(text):
-            before = bisect.bisect_left(starts, m.end()) - 1
-            if before >= 0 and taken[before][1] > m.start() or not (data := decode(m[0])):
+            if not free(m.start(), m.end()) or not (data := decode(m[0])):
                 continue
             if is_key(data):
                 out.append((m.start(), m.end(), "key"))
-            elif depth < 2 and data.isascii() and (inside := data.decode()).replace("\n", "").replace("\r", "").replace("\t", "").isprintable():
-                if structural_spans(inside, depth + 1) or any(k != "hex" for *_, k in base_spans(inside)):
+            elif data.isascii() and (inside := data.decode()).replace("\n", "").replace("\r", "").replace("\t", "").isprintable():
+                if structural_spans(inside) or any(k != "hex" for *_, k in base_spans(inside)):
                     out.append((m.start(), m.end(), "nested"))
     return out
 

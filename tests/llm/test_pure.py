@@ -63,6 +63,47 @@ def test_structural_spans_need_structure():
     assert not secrets.is_key(RSA + b"\0") and not secrets.is_key(b"") and not secrets.is_key(b"\x30\x84")
 
 
+def test_structural_spans_of_other_shapes():
+    key = base64.b64encode(RSA).decode()
+    url = lambda x: base64.urlsafe_b64encode(x.encode()).decode().rstrip("=")
+    kinds = lambda t: [(k, t[s:e]) for s, e, k in secrets.structural_spans(t)]
+    for head in ('{ "alg": "HS256"}', '{\n"alg":"HS256"}', ' {"alg":"none"}'):
+        token = f"{url(head)}.{url('{}')}.c2ln"
+        assert kinds(f"a {token} b") == [("jwt", token)]
+    sealed = f"{url('{\"alg\":\"dir\",\"enc\":\"A128GCM\"}')}..aXZpdg.Y2lwaGVy.dGFn"
+    assert kinds(f"({sealed})") == [("jwt", sealed)] and not kinds(sealed.rsplit(".", 1)[0])
+    for width in (32, 40, 64):
+        for sep in ("\n", "\r\n", "\n  "):
+            text = sep.join(key[i : i + width] for i in range(0, len(key), width))
+            assert kinds(f"x {text}\nend of it") == [("key", text)], (width, sep)
+    assert not kinds("\n".join(["a" * 64] * 9)) and not kinds("\n".join(key[i : i + 64] for i in range(0, 128, 64)))
+    assert kinds("M" * 40 + f"\n{key[:64]}\n{key[64:128]}\n{key[128:192]}\n{key[192:]}")[0][0] == "key"
+    text = key
+    for _ in range(9):
+        text = base64.b64encode(f"x={text}".encode()).decode()
+    assert kinds(text) == [("nested", text)] and kinds(text.encode().hex()) == [("nested", text.encode().hex())]
+    long = "y " * 300_000 + key + " " + "z" * 500_000
+    assert kinds(long) == [("key", key)] and secrets.scan_text(long)[4] == f"key:600000:{600000 + len(key)}"
+
+
+_PARTS = st.sampled_from(["password", "PassWD", "api_key", "APIKEY", "token", "secret", ":", "=", '"', "'", " ", "  ", "abcdef", "abc", "AKIA", "AKIA" + "Z9" * 8, "0a" * 12, "f" * 23, "é", "ſecret", "\n", "==", "-._", "A"])
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(_PARTS, max_size=12).map("".join))
+def test_base_spans_are_those_of_the_contract(text):
+    want = []
+    for kind, pattern, least in (
+        ("assign", r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 6),
+        ("access", r"()(AKIA[A-Z0-9]+)", 20),
+        ("hex", r"()([0-9a-f]+)", 24),
+    ):
+        want += [(m.start(), m.end(), kind) for m in re.finditer(pattern, text) if len(m[2]) >= least]
+    assert sorted(secrets.base_spans(text)) == sorted(want)
+    joined = ",".join(f"{k}:{s}:{e}" for s, e, k in sorted(want, key=lambda x: (x[0], ("assign", "access", "hex").index(x[2]))))
+    assert secrets.scan_text(text)[3] == hashlib.sha256(joined.encode()).hexdigest()
+
+
 def test_base_spans_drop_failing_matches():
     assert secrets.base_spans("token=token: abcdefgh") == []  # the short match takes the second keyword with it
     text = 'API_KEY = "abcdef" AKIA' + "A" * 16 + " " + "0" * 24 + " é paſſword: abcdef"
