@@ -9,9 +9,10 @@ ones, a Laplace estimate within [0.01, 0.5].
 Features are the words of a text and the six-byte stretches within its words, lower-cased, hashed to 2**20 buckets and
 counted once a text. Frequencies over the training sample pick the buckets whose rates differ most, ``FEATURES`` at most.
 
-The training sample is bounded: at most ``POSITIVES`` confirmed identifiers and ``UNLABELLED`` identifiers of all
-texts, the least by a hash. Text alone makes a score; null and empty text gets that of the bias. Without positives every
-score is the prior. Equal texts get equal scores.
+The training sample is bounded by parameters of ``fit``: at most ``positives`` confirmed identifiers and ``unlabelled``
+identifiers of all texts, the least by a hash, with one text each, the least where an identifier repeats. Whole texts
+train and are scored. Text alone makes a score; null and empty text gets that of the bias. Without positives every
+score is the prior. Equal texts get equal scores, and rows of one identifier a score each.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
-from quillgraph.llm.common import fold, table
+from quillgraph.llm.common import Scratch, fold, table
 from quillgraph.llm.text import LOWER, SPACED, Words, distinct, mix, slices
 
 BUCKETS = 1 << 20
@@ -119,20 +120,22 @@ def nnpu(rows: list[np.ndarray], positive: np.ndarray, features: int, prior: flo
     return w, float(b)
 
 
-def fit(docs: DataFrame, labels: DataFrame) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> Model:
     """A model from the texts of ``docs`` (doc_id, text) and the confirmed rows of ``labels`` (doc_id, toxic)."""
     spark = docs.sparkSession
     known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL")
     toxic, total = known.agg(F.count_if(F.col("toxic") == 1), F.count("*")).first()
     prior = min(0.5, max(0.01, (toxic + 1) / (total + 2)))
     pick = lambda df, n: [r[0] for r in df.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(n).collect()]
-    positive = pick(known.where("toxic = 1"), POSITIVES)
-    unlabelled = pick(docs.where("doc_id IS NOT NULL"), UNLABELLED)
+    positive = pick(known.where("toxic = 1"), positives)
+    others = pick(docs.where("doc_id IS NOT NULL"), unlabelled)
     bias = float(np.log(prior / (1 - prior)))
-    if not positive or not unlabelled:
+    if not positive or not others:
         return Model(np.zeros(0, np.int64), np.zeros(0), bias)
-    chosen = spark.createDataFrame([(x, True) for x in positive] + [(x, False) for x in unlabelled], "doc_id long, positive boolean")
-    sample = docs.join(F.broadcast(chosen), "doc_id").select("positive", "text")
+    chosen = spark.createDataFrame([(x, True) for x in positive] + [(x, False) for x in others], "doc_id long, positive boolean")
+    scratch = Scratch(spark, "toxicity")
+    # at most the identifiers chosen
+    sample = scratch.keep(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "positive").agg(F.min("text").alias("text")).select("positive", "text"), "sample")
 
     def count(batches):
         texts = np.zeros((2, BUCKETS), np.int32)
@@ -168,6 +171,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(feature, pa.int32()))], ["positive", "f"])
 
     seen = sample.mapInArrow(read, "positive boolean, f array<int>").toPandas()
+    scratch.drop()
     features = [np.asarray(x, np.int64) for x in seen["f"]]
     order = sorted(range(len(features)), key=lambda i: (bool(seen["positive"].iat[i]), len(features[i]), features[i].tobytes()))
     weights, bias = nnpu([features[i] for i in order], seen["positive"].to_numpy(bool)[order], len(rows), prior)

@@ -313,6 +313,34 @@ def test_toxicity_of_hard_rows(spark, docs):
         assert len(got) == len(ROWS) and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3) for r in got)
 
 
+def test_toxicity_of_repeated_identifiers_and_very_long_texts(spark):
+    rng = np.random.default_rng(6)
+    plain = lambda n: " ".join(f"plain{x}" for x in rng.integers(0, 300, n))
+    bad = lambda n: " ".join(f"vile{x}" if k % 4 == 0 else f"plain{x}" for k, x in enumerate(rng.integers(0, 300, n)))
+    rows = [(i, bad(40) if i % 5 == 0 else plain(40)) for i in range(600)]
+    rows += [(5000, plain(30))] * 300 + [(5001, bad(60_000)), (5002, plain(60_000)), (5003, None), (5003, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    labels = spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(0, 600, 2)], "doc_id long, toxic int")
+    got = toxicity.score(df, toxicity.fit(df, labels, positives=50, unlabelled=400)).collect()
+    assert len(got) == len(rows) and len({r.score for r in got if r.doc_id == 5000}) == 1
+    by = {r.doc_id: r.score for r in got}
+    assert by[5001] > by[5002] and np.mean([by[i] for i in range(0, 600, 5)]) > 0.5 > 3 * np.mean([by[i] for i in range(600) if i % 5])
+    assert [r.score for r in got if r.doc_id == 5003][0] == [r.score for r in got if r.doc_id == 5003][1]
+
+
+SF1 = "/root/testdata/sf0.01"
+
+
+@pytest.mark.skipif(not os.path.isdir(SF1), reason="needs the driver's tables")
+def test_held_out_rows_are_told_apart(spark):
+    docs, labels = spark.read.parquet(f"{SF1}/documents.parquet"), spark.read.parquet(f"{SF1}/labels.parquet")
+    lang = langid.op8_language_id(spark, SF1).where("held_out AND lang_pred != 'und'").join(docs.select("doc_id", "lang", "n_chars"), "doc_id").where("n_chars > 100").collect()
+    assert len(lang) > 100 and np.mean([r.lang == r.lang_pred for r in lang]) > 0.98
+    seen = toxicity.op10_toxicity(spark, SF1).where("held_out").join(labels, "doc_id").where("toxic IS NOT NULL").collect()
+    pos, neg = [r.score for r in seen if r.toxic == 1], [r.score for r in seen if r.toxic == 0]
+    assert pos and neg and np.mean([(p > n) + 0.5 * (p == n) for p in pos for n in neg]) > 0.75
+
+
 def test_pipeline_stages_keep_columns(spark, tmp_path):
     docs = spark.createDataFrame([(*r, len(r[1] or "")) for r in ROWS], "doc_id long, text string, lang string, source string, n_chars long")
     docs.write.parquet(f"{tmp_path}/documents.parquet")
