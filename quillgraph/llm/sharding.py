@@ -9,6 +9,7 @@ A shard consists of blocks of bounded size, each a range of its slots, so that n
 needs the whole matrix: it is drawn by halving the partitions, with a seed for each half, and a task follows only the
 halves it lies in. The driver holds one count per input partition and one size per block.
 
+The input's own columns ``shard`` and ``slot``, in any case, give way to the new ones; all others stay, whatever their names.
 Rows keep their place by (partition, position), so repeated rows, ties and null identifiers are rows as any other.
 The frame is read twice and must come from files or a checkpoint, whose partitions don't change between reads. An
 empty frame has no rows in any shard.
@@ -96,7 +97,7 @@ def shard_rows(docs: DataFrame, shards: int = SHARDS, seed: int = 17) -> DataFra
 
 
 def sharding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents with their shard and slot."""
+    """The documents with their shard and slot; null and empty texts, ties and repeated rows are rows as any other."""
     return shard_rows(docs)
 
 

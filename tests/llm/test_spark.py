@@ -1,7 +1,9 @@
 """Each operator on a small table of hard cases, and the pipeline's stages."""
 
+import hashlib
 import math
 import os
+import re
 import zlib
 from collections import Counter
 
@@ -341,15 +343,87 @@ def test_held_out_rows_are_told_apart(spark):
     assert pos and neg and np.mean([(p > n) + 0.5 * (p == n) for p in pos for n in neg]) > 0.75
 
 
-def test_pipeline_stages_keep_columns(spark, tmp_path):
+def test_pipeline_of_hard_rows(spark, tmp_path):
     docs = spark.createDataFrame([(*r, len(r[1] or "")) for r in ROWS], "doc_id long, text string, lang string, source string, n_chars long")
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(1, "a b c")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     names = [n for n, _ in corpus_pipeline.STAGES]
     assert names == ["quality", "near_duplicates", "decontamination", "mixing", "sharding"]
+    kept = docs
+    for name, stage in corpus_pipeline.STAGES[:3]:
+        kept = stage(spark, kept, str(tmp_path))
+        assert kept.columns == docs.columns
+        want = {"quality": [2, 3, 3, 4, 5, 9, None], "near_duplicates": [2, 5, None], "decontamination": [2, 5, None]}[name]
+        assert sorted(map(str, (r.doc_id for r in kept.collect()))) == sorted(map(str, want))
     out = corpus_pipeline.run(spark, str(tmp_path))
     assert {*docs.columns, "shard", "slot"} == {*out.columns}
-    assert {r.doc_id for r in out.collect()} <= {2, 5, 9, None}
+    assert {r.doc_id for r in out.collect()} <= {2, 5, None}
+    empty = f"{tmp_path}/empty"
+    docs.limit(0).write.parquet(f"{empty}/documents.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{empty}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, empty).count() == 0
+
+
+def brute_repeats(w):
+    n = Counter(zip(w, w[1:], w[2:], strict=False))
+    return len({i + k for i, x in enumerate(zip(w, w[1:], w[2:], strict=False)) if n[x] > 1 for k in range(3)})
+
+
+def brute_kept(text):
+    w = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    lines = [x for x in (text or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    n, marks = len(w), sum((text or "").count(c) for c in "#*$%&|<>")
+    chars = sum(map(len, w))
+    return not (n < 50 or 100 * brute_repeats(w) > 50 * n or 10 * marks > 3 * n or 10 * (text or "").count("!") > 3 * n or 2 * (len(lines) - len({*lines})) > len(lines) or chars < 2 * n or chars > 15 * n)
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="needs the driver's tables")
+def test_each_stage_of_the_pipeline_matches_brute_force(spark):
+    sf = "/root/testdata/sf0.001"
+    rows = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang", "source").collect()]
+    items = [r.text for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    stages, scratch = dict(corpus_pipeline.STAGES), Scratch(spark, "t")
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    ids = lambda df: sorted(r.doc_id for r in df.select("doc_id").collect())
+
+    docs, rows = scratch.keep(stages["quality"](spark, docs, sf)), [r for r in rows if brute_kept(r[1])]
+    assert ids(docs) == sorted(r[0] for r in rows) and 20 < len(rows) < 200
+    component = {int(x): int(c) for x, _, c in brute_components(rows, 5)}
+    docs, rows = scratch.keep(stages["near_duplicates"](spark, docs, sf)), [r for r in rows if component[r[0]] == r[0]]
+    assert ids(docs) == sorted(r[0] for r in rows)
+
+    split = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    windows = {tuple(w[i : i + min(13, len(w))]) for w in map(split, items) for i in range(max(1, len(w) - 12)) if w}
+    sizes = {len(x) for x in windows}
+
+    def stays(text):
+        w = split(text)
+        found = [(i, n) for n in sizes for i in range(len(w) - n + 1) if tuple(w[i : i + n]) in windows]
+        return not any(n == 13 for _, n in found) and not (found and 20 * len({i + k for i, n in found for k in range(n)}) >= len(w))
+
+    docs, rows = scratch.keep(stages["decontamination"](spark, docs, sf)), [r for r in rows if stays(r[1])]
+    assert ids(docs) == sorted(r[0] for r in rows) and rows
+
+    def cell(r):
+        counts = [len(re.findall(x, r[1] or "")) for x in mixing.TOPICS.values()]
+        topic = [*mixing.TOPICS][counts.index(max(counts))] if max(counts) else mixing.PLAIN
+        return tuple(x if x in mixing.TARGETS[k] else "other" for k, x in (("source", r[3]), ("lang", r[2]), ("topic", topic)))
+
+    tokens = Counter()
+    for r in rows:
+        tokens[cell(r)] += max(1, len(words(r[1])))
+    cells = sorted(tokens)
+    t = np.array([tokens[c] for c in cells], float)
+    p = dict(zip(cells, np.minimum(1, mixing.BUDGET * t.sum() * mixing.rake(t, cells, [*mixing.TARGETS.values()], budget=mixing.BUDGET) / t), strict=True))
+    unit = lambda d: int(hashlib.md5(f"{mixing.SEED}{d}".encode()).hexdigest()[:13], 16) / 2**52
+    docs, rows = scratch.keep(stages["mixing"](spark, docs, sf)), [r for r in rows if unit(r[0]) < p[cell(r)]]
+    assert ids(docs) == sorted(r[0] for r in rows) and rows
+
+    out = stages["sharding"](spark, docs, sf).collect()
+    assert sorted(r.doc_id for r in out) == sorted(r[0] for r in rows)
+    sizes = Counter(r.shard for r in out)
+    assert max(sizes.values()) - min(sizes.get(s, 0) for s in range(24)) <= 1
+    assert all(sorted(r.slot for r in out if r.shard == s) == list(range(n)) for s, n in sizes.items())
 
 
 def test_the_cascade_stops_at_the_first_rule(docs):
