@@ -6,6 +6,7 @@ import re
 import tempfile
 import uuid
 
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,6 +33,30 @@ def arrow_uri(spark: SparkSession, folder: str) -> str:
     return re.sub(r"^s3[an]:", "s3:", re.sub(r"^file:/+", "file:///", uri.toString()))
 
 
+def open_store(uri: str) -> tuple[pafs.FileSystem, str]:
+    return pafs.FileSystem.from_uri(uri)
+
+
+def write_file(folder: str, name: str, data: bytes) -> None:
+    """Under a name of this attempt first, so that a task that runs again leaves one whole file."""
+    fs, root = open_store(folder)
+    fs.create_dir(root, recursive=True)
+    own = f"{root}/.{name}-{uuid.uuid4().hex}"
+    with fs.open_output_stream(own) as out:
+        out.write(data)
+    if fs.get_file_info(f"{root}/{name}").type != pafs.FileType.NotFound:
+        fs.delete_file(f"{root}/{name}")
+    fs.move(own, f"{root}/{name}")
+
+
+def read_file(folder: str, name: str) -> bytes | None:
+    fs, root = open_store(folder)
+    if fs.get_file_info(f"{root}/{name}").type == pafs.FileType.NotFound:
+        return None
+    with fs.open_input_file(f"{root}/{name}") as file:
+        return file.read()
+
+
 class Scratch:
     """Tables written under the shared folder: they cut lineage and outlive executors."""
 

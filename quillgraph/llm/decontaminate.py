@@ -5,8 +5,9 @@ words can begin a benchmark window (their word pairs all occur in the benchmark)
 Every suffix of every benchmark item is binary-searched in it; the range it spans gives all verbatim places. Windows
 found at consecutive places of the same item join into longest matches. The corpus is read once and not shuffled.
 
-The benchmark is the stated query set: it reaches the workers in blocks of at most ``BLOCK_WORDS`` words each, however
-large it is, and all blocks are searched in all texts.
+The benchmark is the stated query set: it is made into blocks of about ``BLOCK_WORDS`` words each on the executors, files in
+the shared folder, and all blocks are searched in all texts. A worker holds ``HELD`` blocks, or one more than its texts
+need at a time; so its memory doesn't grow with the benchmark, and a benchmark of few blocks is read once.
 
 A window is 13 consecutive words of an item; an item with fewer words, but not none, is one window. Words are
 ``[^\x00-\x2F\x3A-\x60\x7B-\x7F]+`` after lower-casing A-Z, compared by 64-bit hashes. Null and empty texts have no words and
@@ -20,17 +21,20 @@ fewer words, which may be a common phrase, removes only documents of which it is
 from __future__ import annotations
 
 import hashlib
+import pickle
+import uuid
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quillgraph.llm.common import table
+from quillgraph.llm.common import arrow_uri, read_file, shared_dir, table, write_file
 from quillgraph.llm.text import ALNUM, Words, distinct, pairs, slices
 
 WINDOW = 13
-#: Words of the benchmark in one broadcast block: about 30 MB with its windows.
-BLOCK_WORDS = 1 << 18
+#: Words of the benchmark in one block: about 30 MB with its windows; and blocks that a worker remembers.
+BLOCK_WORDS, HELD = 1 << 18, 4
 SCHEMA = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, longest_words long, longest_item string, longest_at long, affected boolean"
 
 
@@ -75,20 +79,45 @@ class Block:
             self.windows[size] = (keys, first, item[order], offset[order])
 
 
-def blocks(bench: DataFrame, window: int = WINDOW, size: int = BLOCK_WORDS) -> list:
-    """Broadcast blocks of the benchmark, each of ``size`` words or one item."""
-    out, items, n = [], [], 0
-    sc = bench.sparkSession.sparkContext
-    for row in bench.selectExpr("coalesce(cast(item_id AS string), '') AS i", "coalesce(text, '') AS t").toLocalIterator():
-        words = len(row.t) // 2 + 1  # at most
-        if items and n + words > size:
-            out.append(sc.broadcast(Block(items, window)))
-            items, n = [], 0
-        items.append((row.i, row.t))
-        n += words
-    if items:
-        out.append(sc.broadcast(Block(items, window)))
-    return out
+class Stored:
+    """A block in a file."""
+
+    known: dict[tuple[str, str], Block] = {}
+
+    def __init__(self, folder: str, name: str):
+        self.folder, self.name = folder, name
+
+    @property
+    def value(self) -> Block:
+        key = (self.folder, self.name)
+        if key not in self.known:
+            while len(self.known) >= HELD:
+                self.known.pop(next(iter(self.known)))
+            self.known[key] = pickle.loads(read_file(*key))
+        return self.known[key]
+
+
+def blocks(bench: DataFrame, window: int = WINDOW, size: int = BLOCK_WORDS) -> list[Stored]:
+    """The benchmark in blocks of about ``size`` words, or of one item."""
+    spark = bench.sparkSession
+    rows = bench.selectExpr("coalesce(cast(item_id AS string), '') AS i", "coalesce(text, '') AS t").where("t != ''")
+    words = rows.agg(F.sum(F.floor(F.length("t") / 2) + 1)).first()[0]  # at most
+    if not words:
+        return []
+    n = -(-words // size)
+    folder = arrow_uri(spark, f"{shared_dir(spark)}/benchmark-{uuid.uuid4().hex}")
+
+    def build(batches):
+        items, b = [], None
+        for batch in batches:
+            for b, i, t in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                items.append((i, t))
+        if items:
+            write_file(folder, f"block-{b}", pickle.dumps(Block(sorted(items), window)))
+            yield pa.RecordBatch.from_arrays([pa.array([f"block-{b}"])], ["name"])
+
+    made = rows.select(F.pmod(F.xxhash64("i", "t"), F.lit(n)).cast("int").alias("b"), "i", "t").repartitionById(n, "b").mapInArrow(build, "name string")
+    return [Stored(folder, r.name) for r in made.orderBy("name").collect()]
 
 
 def _spread(first: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -155,8 +184,6 @@ def judge(column: pa.Array, held: list, window: int = WINDOW) -> list[tuple]:
                 at = int(place[s] - words.first[d])
                 if (n, best[d][2] is None or -at) > (best[d][0], -(best[d][2] or 0)):
                     best[d] = (n, name, at)
-        if len(held) > 1 and hasattr(one, "_value"):
-            del one._value  # one block in memory at a time
     covered = np.concatenate([[0], np.cumsum(np.cumsum(edges[:-1]) > 0)])
     hits, sizes = covered[words.first[1:]] - covered[words.first[:-1]], np.diff(words.first)
     rows = zip(sizes.tolist(), hits.tolist(), names, best, whole.tolist(), strict=True)

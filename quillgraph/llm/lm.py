@@ -30,7 +30,6 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.fs as pafs
 import xxhash
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
@@ -38,8 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from quillgraph.llm import bloom
-from quillgraph.llm.common import Scratch, arrow_uri, fold, shared_dir, table
-from quillgraph.llm.sstable import _open
+from quillgraph.llm.common import Scratch, arrow_uri, fold, read_file, shared_dir, table, write_file
 from quillgraph.llm.text import Words, mix, pairs, slices
 from quillgraph.llm.text import distinct as sorted_set
 
@@ -131,30 +129,10 @@ class Model:
         return (((keys >> np.uint64(32)) * np.uint64(self.n_blocks)) >> np.uint64(32)).astype(np.int64)
 
     def load(self, b: int) -> bloom.Bloom | None:
-        data = _read_file(self.folder, f"block-{b}")
+        data = read_file(self.folder, f"block-{b}")
         return None if data is None else bloom.Bloom(np.frombuffer(data, np.uint8), len(data) // (bloom.SEGMENT_BITS >> 3), PROBES)
 
 
-def _write_file(folder: str, name: str, data: bytes) -> None:
-    """Under a name of this attempt first, so that a task that runs again leaves one whole file."""
-    fs, root = _open(folder)
-    fs.create_dir(root, recursive=True)
-    own = f"{root}/.{name}-{uuid.uuid4().hex}"
-    with fs.open_output_stream(own) as out:
-        out.write(data)
-    if fs.get_file_info(f"{root}/{name}").type != pafs.FileType.NotFound:
-        fs.delete_file(f"{root}/{name}")
-    fs.move(own, f"{root}/{name}")
-
-
-def _read_file(folder: str, name: str) -> bytes | None:
-    fs, root = _open(folder)
-    if fs.get_file_info(f"{root}/{name}").type == pafs.FileType.NotFound:
-        return None
-    with fs.open_input_file(f"{root}/{name}") as file:
-        return file.read()
-
-
 def levels_of(held: bloom.Bloom | None, keys: np.ndarray) -> np.ndarray:
     """The last level of each n-gram that the filter holds, by repeated probes."""
     out = np.zeros(len(keys), np.uint8)
@@ -269,7 +247,7 @@ def fit(texts: DataFrame, counts: DataFrame) -> Model:
                     segment, bit = bloom.places(_entries(some[p : p + _PART], level), segments, PROBES)
                     at = (segment[:, None] * bloom.SEGMENT_BITS + bit).ravel()
                     np.bitwise_or.at(bits, at >> 3, (1 << (at & 7)).astype(np.uint8))
-            _write_file(held.value.folder, f"block-{b}", bits.tobytes())
+            write_file(held.value.folder, f"block-{b}", bits.tobytes())
         yield pa.RecordBatch.from_arrays([pa.array([0], pa.int64())], ["n"])
 
     made = "b int, keys binary, counts binary"
@@ -327,11 +305,11 @@ def _answered(rows: DataFrame, held, folder: str) -> None:
             for name, b, levels in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 if name != now:
                     if now is not None:
-                        _write_file(folder, now, b"".join(parts.values()))
+                        write_file(folder, now, b"".join(parts.values()))
                     now, parts = name, {}
                 parts[b] = levels  # equal sets of questions have equal answers
         if now is not None:
-            _write_file(folder, now, b"".join(parts.values()))
+            write_file(folder, now, b"".join(parts.values()))
         yield pa.RecordBatch.from_arrays([pa.array([0], pa.int64())], ["n"])
 
     asked = rows.select("text").mapInArrow(ask, "b int, name string, keys binary").repartitionById(held.value.n_blocks, "b")
@@ -368,7 +346,7 @@ def score_texts(docs: DataFrame, model: Model, counts: DataFrame, *columns) -> D
     def scored(pieces, names, folder):
         m = held.value
         keys = sorted_set(np.concatenate([x for p in pieces for x in (p[2], p[5])]))
-        levels = np.frombuffer((_read_file(folder, _digest(keys)) if len(keys) else None) or b"", np.uint8)
+        levels = np.frombuffer((read_file(folder, _digest(keys)) if len(keys) else None) or b"", np.uint8)
         if len(levels) != len(keys):
             raise Moved(Moved.__doc__)
         found = MIDDLE[levels]

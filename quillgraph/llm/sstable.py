@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import arrow_uri, shared_dir, table
+from quillgraph.llm.common import arrow_uri, open_store, shared_dir, table
 from quillgraph.llm.text import slices
 
 MAGIC = b"QSST0001"
@@ -253,10 +253,6 @@ class Encoder:
 _encoders: dict[str, Encoder] = {}
 
 
-def _open(uri: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(uri)
-
-
 def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END_ID) -> list[tuple[int, str, int, int]]:
     """Writes ``docs`` (doc_id, text) under ``folder`` in ascending order over shards: number, file, documents and ids of each.
 
@@ -269,7 +265,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END
         encoder = _encoders.setdefault(tokenizer, None) or Encoder(tokenizer)
         _encoders[tokenizer] = encoder
         end = end_id.to_bytes(encoder.width, "little")
-        fs, root = _open(folder)
+        fs, root = open_store(folder)
         shard = TaskContext.get().partitionId()
         at, own = f"{root}/shard-{shard:06d}.sst", f"{root}/.{shard:06d}-{uuid.uuid4().hex}"
         out = writer = None
@@ -300,7 +296,7 @@ def read_shards(spark: SparkSession, folder: str, shards: list[tuple[int, str, i
     def read(batches):
         for batch in batches:
             for i in batch.column(0).to_pylist():
-                fs, root = _open(folder)
+                fs, root = open_store(folder)
                 at = f"{root}/{shards[i][1]}"
                 with fs.open_input_file(at) as file:
                     start, rows = starts[i], []

@@ -250,6 +250,9 @@ def test_decontamination(spark, docs):
     left = dec.decontaminate(docs, items)
     assert left.columns == docs.columns and 2 not in {r.doc_id for r in left.collect()}
     assert dec.decontaminate(docs, items.limit(0)).count() == len(ROWS)
+    many = spark.createDataFrame([(i, f"item {i} " + BASE[: 40 + i]) for i in range(60)] + [(7, BASE)] * 3, "item_id long, text string")
+    one, several = (sorted(map(str, docs.sparkSession.createDataFrame(docs.select("doc_id", "text").collect(), "doc_id long, text string").mapInArrow(lambda b, h=h: (pa.RecordBatch.from_arrays([pa.array([str(x) for x in dec.judge(y.column(1), h)])], ["x"]) for y in b), "x string").collect())) for h in (dec.blocks(many), dec.blocks(many, size=200)))
+    assert one == several and len(dec.blocks(many, size=200)) > dec.HELD
 
 
 def test_language_of_hard_rows(docs):
