@@ -27,7 +27,8 @@ PARSE_FAILURES = StructType([StructField(c, _S) for c in ("path", "message", "co
 REF = ("id", "title", "kind", "status", "path")
 SCALARS = ("id", "title", "kind", "status", "created", "updated", "reviewed", "owner", "superseded_by", "orphan_ok")
 LISTS = ("supersedes", "implements", "related", "tags", "covers")
-STOP_WORDS = ("a", "an", "the", "of", "in", "on", "for", "to", "and", "or", "with", "by", "is", "at", "from", "as", "be", "it")
+#: The words that titles are compared without, unless a project says otherwise.
+STOP_WORDS = ("the", "a", "an", "and", "or", "of", "to", "for", "in", "on", "with", "is", "are", "be", "by", "as", "at", "from")
 
 
 @dataclass(frozen=True)

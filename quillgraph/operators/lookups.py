@@ -66,21 +66,44 @@ def backlinks(g: Graph, node_id: str) -> DataFrame:
 
 def covered_by(g: Graph, path: str) -> DataFrame:
     """Documents whose ``covers`` names the path."""
+    from quillgraph.plans.resolve import candidates_of
+
     needle = normalized_path(F.lit(path))
     rows = g.edges.where("relation = 'covers'").join(g.nodes.select(F.col("id").alias("target_id"), F.col("path").alias("target_path")), "target_id", "left")
-    rows = rows.join(g.nodes.select(*REF), F.col("source") == F.col("id"))
-    own = F.when(F.regexp_extract("path", "^(.*)/[^/]*$", 1) == "", F.col("target_raw")).otherwise(F.concat_ws("/", F.regexp_extract("path", "^(.*)/[^/]*$", 1), "target_raw"))
-    names = F.array(F.col("target_path"), normalized_path(F.col("target_raw")), normalized_path(own))
+    rows = candidates_of(rows.join(g.nodes.select(*REF, F.col("path").alias("source_path")), F.col("source") == F.col("id")), g.settings.extensions)
+    names = F.when(F.col("target_path").isNotNull(), F.array("target_path")).otherwise(F.coalesce("sought", F.array().cast("array<string>")))
     return rows.where(F.coalesce(F.array_contains(names, needle), F.lit(False))).select(*REF, "relation").distinct().orderBy("id")
 
 
+#: Days from year 1 back to where project calendars end: a horizon beyond turns detection off.
+CALENDAR = 95_746_130
+
+
+def _before(today: dt.date, days: int) -> dt.date | None:
+    """``days`` before today; None where no calendar reaches that far."""
+    try:
+        return today - dt.timedelta(days=days)
+    except OverflowError:
+        return None
+
+
+def _until(column: Column, cutoff: dt.date | None) -> Column:
+    return column <= _day(cutoff) if cutoff else F.lit(False)
+
+
+def _day(day: dt.date) -> Column:
+    return F.lit(day.isoformat()).cast("date")  # years before 1000 as well
+
+
 def orphan_population(g: Graph) -> DataFrame:
     s = g.settings
-    cutoff = s.today - dt.timedelta(days=s.orphan_grace_days)
+    cutoff = _before(s.today, s.orphan_grace_days)
+    if s.orphan_grace_days > s.today.toordinal() + CALENDAR:
+        return g.nodes.where(F.lit(False))
     live = g.nodes.where(~F.col("status").isin(*s.terminal)) if s.terminal else g.nodes
     if s.orphan_ok_kinds:
         live = live.where(~F.col("kind").isin(*s.orphan_ok_kinds))
-    return live.where(~F.coalesce("orphan_ok", F.lit(False)) & (F.col("created").isNull() | (F.col("created") <= F.lit(cutoff))))
+    return live.where(~F.coalesce("orphan_ok", F.lit(False)) & (F.col("created").isNull() | _until(F.col("created"), cutoff)))
 
 
 def orphans(g: Graph) -> DataFrame:
@@ -92,17 +115,17 @@ def orphans(g: Graph) -> DataFrame:
 def stale(g: Graph) -> DataFrame:
     """Live documents last reviewed ``stale_days`` ago or earlier; none where no horizon is set."""
     s = g.settings
-    cutoff = s.today - dt.timedelta(days=s.stale_days or 0)
-    rows = g.nodes.where(~F.col("status").isin(*s.terminal) & (F.col("reviewed") <= F.lit(cutoff)) & F.lit(s.stale_days is not None))
+    cutoff = _before(s.today, s.stale_days or 0)
+    rows = g.nodes.where(~F.col("status").isin(*s.terminal) & _until(F.col("reviewed"), cutoff) & F.lit(s.stale_days is not None))
     return rows.select(*REF, "reviewed", days_since(s.today, F.col("reviewed")).alias("days_since")).orderBy("reviewed", "id")
 
 
 def recent(g: Graph, days: int = 7, since: dt.date | None = None, field: str | None = None, kind: str | None = None, limit: int | None = 20) -> DataFrame:
     """Documents by their newest date (or one field's), newest first; on equal dates created counts before reviewed and updated."""
-    cutoff = since or g.settings.today - dt.timedelta(days=days)
+    cutoff = since or _before(g.settings.today, days)
     date, name = (F.col(field), F.lit(field)) if field else newest(F.col("created"), F.col("reviewed"), F.col("updated"))
     rows = g.nodes.where(F.col("kind") == kind) if kind else g.nodes
-    rows = rows.select(*REF, name.alias("field"), date.alias("date")).where(F.col("date") >= F.lit(cutoff))
+    rows = rows.select(*REF, name.alias("field"), date.alias("date")).where(F.col("date") >= _day(cutoff) if cutoff else F.col("date").isNotNull())
     rows = rows.withColumn("days_ago", days_since(g.settings.today, F.col("date"))).orderBy(F.desc("date"), "id")
     return rows.limit(limit) if limit is not None else rows
 

@@ -309,7 +309,7 @@ def unresolved_edges(g: Graph) -> DataFrame:
         if glob:
             at = at & F.exists("sought", _matching(glob))
         severity, name = F.when(at, level).otherwise(severity), F.when(at, policy).otherwise(name)
-    return rows.select("source", "source_path", "relation", F.col("target_raw").alias("raw_target"), "cause", "location", F.coalesce(severity, F.lit("warning")).alias("severity"), name.cast("string").alias("policy_name"))
+    return rows.select("source", "source_path", "relation", F.col("target_raw").alias("raw_target"), "cause", "location", F.coalesce(severity, F.lit("warning")).alias("severity"), name.cast("string").alias("policy_name")).orderBy("source", "relation", "raw_target")
 
 
 def unresolved_reference(g: Graph) -> Outcome:

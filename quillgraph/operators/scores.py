@@ -110,21 +110,24 @@ def trust_ranking(g: Graph, n: int, top: bool = False, kinds=(), statuses=(), be
 def similar(g: Graph, node_id: str | None = None, title: str | None = None, tags=(), kind: str | None = None, path: str | None = None, limit: int | None = None, min_score: float | None = None) -> DataFrame:
     """Documents most like one that exists or is proposed: parts that the target has are compared, the rest don't count."""
     s = g.settings
-    neighbours = g.edges.where("target_id IS NOT NULL").select(F.col("source").alias("id"), F.col("target_id").alias("n")).union(g.edges.where("target_id IS NOT NULL").select(F.col("target_id").alias("id"), F.col("source").alias("n")))
+    bound = g.edges.where("target_id IS NOT NULL")
+    neighbours = bound.select(F.col("source").alias("id"), F.col("target_id").alias("n")).union(bound.select(F.col("target_id").alias("id"), F.col("source").alias("n")))
     strings = "array<string>"
     if node_id is not None:
         target = g.nodes.where(F.col("id") == node_id).select(F.col("title").alias("t_title"), F.col("tags").alias("t_tags"), F.col("kind").alias("t_kind"), directory(F.col("path")).alias("t_dir"))
-        near = neighbours.where(F.col("id") == node_id).agg(F.collect_set("n").alias("t_linked"))
-        target = target.join(F.broadcast(near))
+        rows = g.nodes.where(F.col("id") != node_id)
+        # Only documents that share a neighbour with the target need their own counted; hubs make many, so nothing is hinted here.
+        mine = neighbours.where(F.col("id") == node_id).select("n").distinct()
+        shared = neighbours.join(mine, "n").select("id", "n").distinct().groupBy("id").agg(F.count("*").alias("shared"))
+        degree = neighbours.join(shared.select("id"), "id", "left_semi").distinct().groupBy("id").agg(F.count("*").alias("degree"))
+        target = target.join(F.broadcast(mine.agg(F.count("*").alias("t_linked"))))  # one row
+        rows = rows.join(shared.join(degree, "id"), "id", "left")
     else:
-        one = [F.lit(title or "").alias("t_title"), F.array(*map(F.lit, tags)).cast(strings).alias("t_tags"), F.lit(kind).cast("string").alias("t_kind"), (directory(F.lit(path)) if path else F.lit(None).cast("string")).alias("t_dir"), F.array().cast(strings).alias("t_linked")]
+        one = [F.lit(title or "").alias("t_title"), F.array(*map(F.lit, tags)).cast(strings).alias("t_tags"), F.lit(kind).cast("string").alias("t_kind"), (directory(F.lit(path)) if path else F.lit(None).cast("string")).alias("t_dir"), F.lit(0).alias("t_linked")]
         target = g.nodes.sparkSession.range(1).select(*one)
-    # The target is one row, and its own neighbours bound what must be compared: a node's other neighbours are only counted.
-    near = neighbours.distinct()
-    reach = near.join(F.broadcast(target.select(F.explode("t_linked").alias("n"), F.lit(1).alias("shared"))), "n", "left").groupBy("id").agg(F.count("*").alias("degree"), F.count("shared").alias("shared"))
-    rows = g.nodes if node_id is None else g.nodes.where(F.col("id") != node_id)
-    rows = rows.join(F.broadcast(target)).join(reach, "id", "left")
-    linked = F.when(F.size("t_linked") > 0, F.coalesce(F.col("shared") / (F.size("t_linked") + F.col("degree") - F.col("shared")), F.lit(0.0)))
+        rows = g.nodes.withColumns({"shared": F.lit(None).cast("long"), "degree": F.lit(None).cast("long")})
+    rows = rows.join(F.broadcast(target))  # one row
+    linked = F.when(F.col("t_linked") > 0, F.coalesce(F.col("shared") / (F.col("t_linked") + F.col("degree") - F.col("shared")), F.lit(0.0)))
     same = lambda a, b: F.when(a.isNotNull(), F.when(a == b, F.lit(1.0)).otherwise(F.lit(0.0)))
     parts = {
         "in_title": jaccard(title_tokens(F.col("t_title"), s.stop_words), title_tokens(F.col("title"), s.stop_words)),

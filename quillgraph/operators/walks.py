@@ -12,13 +12,18 @@ from quillgraph.model import REF, Graph
 
 #: Documents of one lineage, or of a cyclic rest, that the driver may order.
 DRIVER_NODES = 100_000
+#: Steps from one document after which whole lineages are labelled instead.
+STEPS = 8
 
 
 def _cut(df: DataFrame) -> DataFrame:
     """The rows in the shared checkpoint folder, without the plan that made them."""
     spark = df.sparkSession
     if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quillgraph-"))
+        at = spark.conf.get("spark.checkpoint.dir", None)
+        if not at and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines see")
+        spark.sparkContext.setCheckpointDir(at or tempfile.mkdtemp(prefix="quillgraph-"))
     return df.checkpoint(eager=True)
 
 
@@ -95,23 +100,25 @@ def dependents(g: Graph, roots: DataFrame | str, max_depth: int | None = None, r
     if relations:
         e = e.where(F.col("relation").isin(*relations))
     e = e.select("edge_idx", "source", F.col("target_id").alias("parent"), "relation")
-    via = "array<struct<source:string,target:string,relation:string>>"
-    level = _cut(roots.select("root", F.col("root").alias("id"), F.lit(0).alias("hops"), F.lit(0).cast("long").alias("rank"), F.array().cast(via).alias("via")))
+    level = _cut(roots.select("root", F.col("root").alias("id"), F.lit(0).cast("long").alias("rank")))
     seen = level.select("root", "id")
-    out, k = _nothing(spark, f"root string, id string, hops int, rank long, via {via}"), 0
+    via = F.array().cast("array<struct<source:string,target:string,relation:string>>")
+    paths, out, k = level.select("root", "id", via.alias("via")), None, 0
     while max_depth is None or k < max_depth:
         k += 1
-        step = e.join(level.select("root", F.col("id").alias("parent"), "rank", "via"), "parent").select("root", F.col("source").alias("id"), "rank", "edge_idx", F.concat(F.array(F.struct("source", F.col("parent").alias("target"), "relation")), "via").alias("via"))
-        step = step.join(seen, ["root", "id"], "left_anti")
-        first = F.row_number().over(Window.partitionBy("root", "id").orderBy("rank", "edge_idx"))
-        step = step.withColumn("f", first).where("f = 1")
-        order = F.row_number().over(Window.partitionBy("root").orderBy("rank", "edge_idx")).cast("long")
-        level = _cut(step.select("root", "id", F.lit(k).alias("hops"), order.alias("rank"), "via"))
-        if not level.limit(1).count():
+        step = e.join(level.select("root", F.col("id").alias("parent"), "rank"), "parent").join(seen.select("root", F.col("id").alias("source")), ["root", "source"], "left_anti")
+        step = step.groupBy("root", F.col("source").alias("id")).agg(F.min(F.struct("rank", "edge_idx", "parent", "relation")).alias("f"))
+        level = numbered(step.select("root", "id", "f.rank", "f.edge_idx", "f.parent", "f.relation"), [F.col("root"), F.col("rank"), F.col("edge_idx")], "place")
+        level = _cut(level.select("root", "id", F.col("place").alias("rank"), "parent", "relation"))
+        if level.isEmpty():
             break
         seen = seen.union(level.select("root", "id"))
-        out = out.union(level)
-    return out.select("root", "id", "hops", "via")
+        hop = F.struct(F.col("id").alias("source"), F.col("parent").alias("target"), "relation")
+        paths = _cut(level.join(paths.select("root", F.col("id").alias("parent"), "via"), ["root", "parent"]).select("root", "id", F.lit(k).alias("hops"), F.concat(F.array(hop), "via").alias("via")))
+        out = paths if out is None else out.union(paths)
+    if out is None:
+        out = _nothing(spark, "root string, id string, hops int, via array<struct<source:string,target:string,relation:string>>")
+    return out.select("root", "id", "hops", "via").orderBy("root", "hops", "id")
 
 
 def chain(g: Graph, node_id: str) -> DataFrame:
@@ -121,13 +128,15 @@ def chain(g: Graph, node_id: str) -> DataFrame:
     """
     e = g.edges.where("relation = 'supersedes' AND target_id IS NOT NULL").select(F.col("source").alias("new"), F.col("target_id").alias("old"))
     both = e.select(F.col("new").alias("a"), F.col("old").alias("id")).union(e.select(F.col("old").alias("a"), F.col("new").alias("id")))
-    seen = _cut(g.nodes.where(F.col("id") == node_id).select("id"))
-    level = seen
-    while True:
+    seen = level = _cut(g.nodes.where(F.col("id") == node_id).select("id"))
+    for _ in range(STEPS):
         level = _cut(both.join(level.select(F.col("id").alias("a")), "a").select("id").distinct().join(seen, "id", "left_anti"))
-        if not level.limit(1).count():
+        if level.isEmpty():
             break
         seen = seen.union(level)
+    else:  # a long one: all lineages at once, in rounds that grow with the logarithm of their length
+        labels = _cut(component_labels(e.select(F.col("new").alias("a"), F.col("old").alias("b"))))
+        seen = labels.join(labels.where(F.col("id") == node_id).select("component"), "component", "left_semi").select("id")
     if seen.count() > DRIVER_NODES:
         raise ValueError(f"a lineage of more than {DRIVER_NODES} documents")
     ids = {r.id for r in seen.collect()}
@@ -160,12 +169,19 @@ def topological(ids: set[str], links: list[tuple[str, str]]) -> list[str]:
 def cyclic_members(g: Graph, relation: str, driver_links: int = DRIVER_NODES) -> DataFrame:
     """id, region (least id of its cycle) and via (its least successor inside) of documents in cycles of the relation.
 
-    Documents without predecessor or successor are peeled away in Spark until none is left; what remains, cycles and
-    paths between them, is small in a healthy graph and is split on the driver, or by colouring in Spark if it has more
-    than ``driver_links`` links.
+    Components with fewer links than documents are trees and have none; they leave at once, however long their paths. What
+    remains, small in a healthy graph, is split on the driver, or where it has more than ``driver_links`` links peeled of
+    documents without predecessor or successor and split by colouring in Spark.
     """
     e = _cut(g.edges.where((F.col("relation") == relation) & F.col("target_id").isNotNull()).select(F.col("source").alias("a"), F.col("target_id").alias("b")).distinct())
-    e, n = _trimmed(e)
+    labels = component_labels(e)
+    ids = labels.groupBy("component").agg(F.count("*").alias("ids"))
+    at = e.join(labels.withColumnRenamed("id", "a"), "a", "left").withColumn("component", F.coalesce("component", "a"))  # self-links have no label
+    counts = at.groupBy("component").agg(F.count("*").alias("links")).join(ids, "component", "left").where("links >= coalesce(ids, 1)").select("component")
+    e = _cut(at.join(counts, "component", "left_semi").select("a", "b"))
+    n = e.count()
+    if n > driver_links:
+        e, n = _trimmed(e)
     if n > driver_links:
         regions = coloured_components(e)
         inside = e.join(regions.select(F.col("id").alias("a"), "region"), "a").join(regions.select(F.col("id").alias("b"), F.col("region").alias("other")), "b").where("region = other")

@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillgraph.model import Graph, Settings
-from quillgraph.operators.lookups import first_of
 
 TODAY = dt.date(2001, 9, 1)
 SETTINGS = Settings(
@@ -101,7 +100,9 @@ def edges(spark: SparkSession, sf_dir: str, relations: tuple[str, ...] | None =
     raw = raw_edges(spark, sf_dir)
     if relations:
         raw = raw.where(F.col("relation").isin(*relations))
-    rows = first_of(raw, ["source", "relation", "target_id"], ["ordinal"])
+    # Numbers alone are aggregated, before the exchange; where a reference stands follows from its ordinal.
+    rows = raw.groupBy("source", "relation", "target_id").agg(F.min("ordinal").alias("ordinal"))
+    rows = rows.withColumn("location", F.when(F.col("ordinal") == 0, F.concat(F.lit("frontmatter:"), F.col("relation"))).otherwise(F.concat(F.lit("L"), F.col("ordinal").cast("string"))))
     order = F.struct("source", "relation", "location", "ordinal", "target_id")
     null = F.lit(None).cast("string")
     return rows.select(order.alias("edge_idx"), "source", "target_id", null.alias("target_raw"), null.alias("cause"), "relation", "location")

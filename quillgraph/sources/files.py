@@ -7,7 +7,7 @@ import re
 import subprocess
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillgraph.functions.columns import matches_glob
@@ -18,9 +18,14 @@ PRUNED = ("node_modules", "__pycache__", "target", ".git", ".venv")
 def scan(spark: SparkSession, root: str, include=("**/*.md",), exclude=(), prune=PRUNED) -> DataFrame:
     """path (from the root), content (null: not UTF-8) and content_hash of every file in scope.
 
-    Works on any store Spark reads. Files in hidden or pruned folders are out unless an include pattern names the dot.
+    Works on any store Spark reads. Hidden files and files in hidden folders are out unless one include pattern names every
+    dot; those in pruned folders always are. Where all patterns end in one extension, no other file is opened.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
+    ends = {m[0] if (m := re.search(r"\.\w+$", g)) else "" for g in include}
+    if len(ends) == 1 and "" not in ends:
+        reader = reader.option("pathGlobFilter", f"*{ends.pop()}")
+    files = reader.load(root)
     base = spark._jvm.org.apache.hadoop.fs.Path(root)
     full = base.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(base).toUri().getPath()
     path = F.regexp_replace(F.regexp_replace("path", r"^[A-Za-z][\w+.-]*:/*", "/"), "^\\Q" + full.rstrip("/") + "\\E/", "")
@@ -32,9 +37,22 @@ def _in_scope(rows: DataFrame, include, exclude, prune) -> DataFrame:
     any_of = lambda globs: F.array_contains(F.array(*[matches_glob(F.col("path"), g) for g in globs]), True) if globs else F.lit(False)
     parts = F.split("path", "/")
     rows = rows.where(any_of(include) & ~any_of(exclude) & ~F.arrays_overlap(parts, F.array(*map(F.lit, prune))))
-    if not any("/." in g or g.startswith(".") for g in include):
-        rows = rows.where(~F.exists(parts, lambda x: x.startswith(".")))
-    return rows
+    hidden = F.exists(parts, lambda x: x.startswith("."))
+    asked = F.lit(False)
+    for g in include:
+        asked = asked | (matches_glob(F.col("path"), g) & _insists_on_dots(parts, g))
+    return rows.where(~hidden | asked)
+
+
+def _insists_on_dots(parts: Column, glob: str) -> Column:
+    """Whether the glob matches the path no longer when any hidden part's dot is another character: one glob names every dot."""
+
+    def other(i: Column, mark: str) -> Column:
+        return F.array_join(F.transform(parts, lambda x, j: F.when(j == i, F.concat(F.lit(mark), F.substring(x, 2, 1 << 30))).otherwise(x)), "/")
+
+    places = F.sequence(F.lit(0), F.size(parts) - 1)
+    shown = lambda i: ~F.element_at(parts, i + 1).startswith(".")
+    return F.forall(places, lambda i: shown(i) | ~(matches_glob(other(i, "\x01"), glob) | matches_glob(other(i, "\x02"), glob)))
 
 
 def one_name_each(files: DataFrame, real: DataFrame) -> DataFrame:

@@ -1,5 +1,6 @@
 """A small project from files to answers."""
 
+import dataclasses
 import datetime as dt
 
 import pytest
@@ -72,6 +73,9 @@ def test_lookups(graph):
     legacy = graph.nodes.where("path = 'docs/legacy.md'").first()
     assert (legacy.id, legacy.title, legacy.kind, legacy.status, sorted(legacy.inferred_fields)) == ("generic-legacy", "Legacy note", "generic", "active", ["id", "kind", "status", "title"])
     assert [r.id for r in lookups.orphans(graph).collect()] == ["generic-legacy", "guide-index", "runbook-deploy"]
+    far = dataclasses.replace(graph, settings=dataclasses.replace(SETTINGS, stale_days=4_000_000_000, orphan_grace_days=4_000_000_000))
+    assert lookups.stale(far).count() == lookups.orphans(far).count() == 0 and lookups.recent(far, days=4_000_000_000, limit=None).count() == lookups.recent(graph, days=700_000, limit=None).count() > 0
+    assert lookups.orphans(dataclasses.replace(graph, settings=dataclasses.replace(SETTINGS, orphan_grace_days=900_000))).select("id").collect() == [("generic-legacy",)]
     assert [(r.id, r.days_since) for r in lookups.stale(graph).collect()] == [("readme-readme", 164), ("adr-gamma", 162), ("runbook-deploy", 106)]
     assert [(r.id, r.field, r.days_ago) for r in lookups.recent(graph, days=365).collect()][:3] == [("guide-index", "reviewed", 14), ("adr-beta", "reviewed", 26), ("guide-notes", "created", 65)]
     assert [(r.id, r.score, r.in_id, r.in_title) for r in lookups.search(graph, "BETA").collect()] == [("adr-beta", 4.0, 1.5, 2.5)]
@@ -183,3 +187,29 @@ def test_number_gaps_over_ranges(spark):
     got = sorted((int(r.number), int(r.previous)) for r in rules.number_gaps(rows).collect())
     assert got == [(7, 3), (20, 8), (40, 22)]
     assert rules.number_gaps(rows.limit(0)).count() == 0
+
+
+def test_hidden_files_need_a_pattern_that_names_every_dot(spark):
+    from quillgraph.sources.files import _in_scope
+
+    paths = ["a.md", ".github/a.md", ".obsidian/b.md", ".github/.cache/c.md", "x/.y/d.md", "x/.e.md", ".github/x.txt"]
+    df = spark.createDataFrame([(p,) for p in paths], "path string")
+    got = lambda *g: sorted(r.path for r in _in_scope(df, g, (), ()).collect())
+    assert got("**/*.md") == ["a.md"]
+    assert got("**/*.md", ".github/**/*.md") == [".github/a.md", "a.md"]
+    assert got("**/.*/**/*.md") == [".github/a.md", ".obsidian/b.md", "x/.y/d.md"]
+    assert got("x/.e.md", "x/**") == ["x/.e.md"]
+
+
+def test_long_lineages_and_trees_cost_few_rounds(spark):
+    from quillgraph.model import Graph
+
+    ids = [f"n{i:03d}" for i in range(60)]
+    nodes = spark.createDataFrame([(x, x, "k", "active", f"{x}.md") for x in ids], "id string, title string, kind string, status string, path string")
+    links = [(i, ids[i], ids[i - 1], "supersedes", "l") for i in range(1, 60)] + [(100, ids[5], ids[5], "related", "l"), (101, ids[7], ids[8], "related", "l"), (102, ids[8], ids[7], "related", "l"), (103, ids[8], ids[9], "related", "l")]
+    g = Graph(nodes, spark.createDataFrame(links, "edge_idx long, source string, target_id string, relation string, location string"), SETTINGS)
+    assert [r.id for r in walks.chain(g, "n010").collect()] == ids
+    assert walks.cyclic_members(g, "supersedes").count() == 0
+    assert sorted((r.id, r.region, r.via) for r in walks.cyclic_members(g, "related").collect()) == [("n005", "n005", "n005"), ("n007", "n007", "n008"), ("n008", "n007", "n007")]
+    out = walks.dependents(g, "n055").collect()
+    assert [(r.id, r.hops, len(r.via)) for r in out] == [(f"n{55 + k:03d}", k, k) for k in range(1, 5)] and out[-1].via[0].source == "n059" and out[-1].via[-1].target == "n055"

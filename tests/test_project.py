@@ -5,8 +5,10 @@ import json
 
 import pytest
 
-from quillgraph import cli, contract, mutate
+from quillgraph import cli, config, contract, mutate
 from quillgraph.config import ConfigError, frontmatter_schema, load, manifest
+from quillgraph.model import STOP_WORDS, Settings
+from quillgraph.plans.parse import Rules, read_document
 
 TODAY = dt.date(2026, 6, 15)
 TOML = """
@@ -124,6 +126,32 @@ def test_contract_changes_and_versions():
     new = {"properties": {"a": {"type": "string"}, "b": {"enum": ["x", "y"]}, "c": {}}, "required": []}
     diff = contract.schema_diff(old, new)
     assert {(at, breaking) for at, _, breaking in diff} == {("/properties/b/enum/y", True), ("/properties/c", False), ("/required/a", True)}
-    assert not contract.bump_satisfies("1.2.3", "1.3.0", diff) and contract.bump_satisfies("1.2.3", "2.0.0", diff) and contract.bump_satisfies("0.2.0", "0.3.0", diff) and contract.bump_satisfies("1.0.0", "1.0.0", [])
+    step = contract.step_covers
+    assert not step("1.2.3", "1.3.0", diff) and step("1.2.3", "2.0.0", diff) and step("0.2.0", "0.3.0", diff) and step("1.0.0", "1.0.0", [])
+    added = [("/properties/c", "added", False)]
+    assert not step("0.1.0", "0.1.1", added) and step("0.1.0", "0.2.0", added) and not step("1.0.0", "1.0.1", added) and step("1.0.0", "1.1.0", added) and not step("2.0.0", "1.9.0", added)
+    kinds = lambda x, y: {(at, breaking) for at, _, breaking in contract.schema_diff(x, y)}
+    assert kinds({"type": "object"}, {"type": "object", "additionalProperties": False}) == {("/additionalProperties", True)}
+    assert kinds({"additionalProperties": False}, {}) == {("/additionalProperties", False)} and not kinds({"description": "a"}, {"description": "b", "title": "c"})
+    assert kinds({"properties": {"required": {"type": "string"}}}, {"properties": {"required": {"type": "string"}, "enum": {}}}) == {("/properties/enum", False)}
+    assert kinds({"oneOf": [{}]}, {"oneOf": [{}, {}]}) == {("/oneOf", True)} and kinds({"minimum": 1}, {"minimum": 0}) == {("/minimum", True)} and kinds(True, {}) == {("", True)}
+    match = contract.version_matches
+    assert match("*", "0.1.0") and match("1.*", "1.9.3") and not match("1.2.*", "1.3.0") and match(">=1.2, <2", "1.9.0") and match("^0.2.1", "0.2.9") and not match("^0.2.1", "0.3.0")
+    for bad in ("not a version", "", ">=1.*", "1.2.3.4"):
+        with pytest.raises(ValueError):
+            match(bad, "1.0.0")
+
+
+def test_scaffold_quotes_fills_and_refuses():
+    project = config.Project(Settings(today=TODAY, kinds=("adr",), statuses=("active", "superseded"), required=("created", "owner"), cross_field=(("status=superseded", "superseded_by"), ("owner exists", "stage")), enums={"stage": ("early", "late")}), Rules(), (), (), (), "out")
+    made = mutate.scaffold(project, "adr", 'A "quoted" title: with #', {}, TODAY, node_id="adr-x", path="docs/x.md", fields={"status": "superseded"})
+    doc = read_document("docs/x.md", made["content"], project.rules)
+    assert doc.fields["title"] == 'A "quoted" title: with #' and doc.fields["id"] == "adr-x" and doc.fields["superseded_by"] == "TODO" and doc.fields["created"] == TODAY
+    assert json.loads(doc.fields["attrs"]["stage"]) == "early" and not doc.issues
+    for bad in ("", " x", "a[b]", "a|b", "x\ny"):
+        with pytest.raises(mutate.Refused):
+            mutate.retarget(project, [], "a", bad)
+    with pytest.raises(mutate.Refused):
+        mutate.scaffold(project, "adr", "t", {}, TODAY, path="../x.md")
     for requirement, good, bad in (("^1.2", "1.9.0", "2.0.0"), ("~1.2", "1.2.9", "1.3.0"), (">=1, <2", "1.0.0", "2.0.0"), ("^0.3", "0.3.4", "0.4.0"), ("=1.2", "1.2.7", "1.3.0"), ("<=1.2", "1.2.9", "1.3.0")):
         assert contract.version_matches(requirement, good) and not contract.version_matches(requirement, bad)
