@@ -134,40 +134,175 @@ def coerce(fields: dict) -> tuple[dict, list[dict]]:
     return out, issues
 
 
-def code_lines(lines: list[str]) -> list[bool]:
-    """Which lines belong to fenced or indented code."""
-    out, fence, blank = [], None, True
+_FENCE = re.compile(r"(`{3,}(?=[^`]*$)|~{3,})(.*)$")
+_ITEM = re.compile(r"([-+*]|\d{1,9}[.)])(?:([ \t]+)(.*)|)$")
+_RULE = re.compile(r"([-*_])(?:[ \t]*\1){2,}[ \t]*$")
+#: The names of tags that begin a block of HTML up to a blank line.
+_BLOCK_TAGS = "address|article|aside|base|basefont|blockquote|body|caption|center|col|colgroup|dd|details|dialog|dir|div|dl|dt|fieldset|figcaption|figure|footer|form|frame|frameset|h1|h2|h3|h4|h5|h6|head|header|hr|html|iframe|legend|li|link|main|menu|menuitem|nav|noframes|ol|optgroup|option|p|param|search|section|summary|table|tbody|td|tfoot|th|thead|title|tr|track|ul"
+#: How a block of HTML begins, and what ends it (None: a blank line).
+_HTML = (
+    (re.compile(r"<(?:script|pre|style|textarea)(?:\s|>|$)", re.I), re.compile(r"</(?:script|pre|style|textarea)>", re.I)),
+    (re.compile(r"<!--"), re.compile(r"-->")),
+    (re.compile(r"<\?"), re.compile(r"\?>")),
+    (re.compile(r"<!\[CDATA\["), re.compile(r"\]\]>")),
+    (re.compile(r"<![A-Za-z]"), re.compile(r">")),
+    (re.compile(rf"</?(?:{_BLOCK_TAGS})(?:\s|/?>|$)", re.I), None),
+)
+_LONE_TAG = re.compile(r"(?:<[A-Za-z][A-Za-z0-9-]*(?:\s+[A-Za-z_:][\w.:-]*(?:\s*=\s*(?:[^\s\"'=<>`]+|'[^']*'|\"[^\"]*\"))?)*\s*/?>|</[A-Za-z][A-Za-z0-9-]*\s*>)\s*$")
+
+
+def line_kinds(lines: list[str]) -> list[str]:
+    """What each line is: ``code`` (fenced or indented), ``html``, ``blank``, ``head`` (begins a block of text) or ``text`` (goes on with one).
+
+    Code is indented by four beyond what its list item asks for. Text after a line of text is that paragraph's, however indented.
+    """
+    out: list[str] = []
+    fence, html, open_text, offsets = None, False, False, []
     for line in lines:
-        m = re.match(r"^ {0,3}(`{3,}|~{3,})(.*)$", line)
+        body = line.strip()
+        indent = len(line.expandtabs(4)) - len(line.expandtabs(4).lstrip(" "))
         if fence:
-            out.append(True)
-            if m and m[1][0] == fence[0] and len(m[1]) >= len(fence) and not m[2].strip():
-                fence, blank = None, False
-        elif m and not (m[1][0] == "`" and "`" in m[2]):
-            fence = m[1]
-            out.append(True)
+            out.append("code")
+            if body and body[0] == fence[0] and not body.strip(fence[0]) and len(body) >= len(fence):
+                fence = None
+            continue
+        if html is not False:
+            out.append("html" if body or html else "blank")
+            if html is None and not body or html and html.search(line):
+                html = False
+            continue
+        if not body:
+            out.append("blank")
+            open_text = False
+            continue
+        item = None if _RULE.match(body) else _ITEM.match(body)
+        while offsets and indent < offsets[-1] and not (open_text and not item):
+            offsets.pop()
+        base = offsets[-1] if offsets else 0
+        if indent - base >= 4 and not open_text:
+            out.append("code")
+            continue
+        while body.startswith(">"):
+            body = body[1:].lstrip(" ")
+        if item and indent - base < 4 and (not open_text or item[3]):
+            spaces = len((item[2] or " ").expandtabs(4))
+            offsets.append(indent + len(item[1]) + (spaces if spaces <= 4 else 1))
+            body, open_text = item[3] or "", False
+            out.append("head")
+            if m := _FENCE.match(body):
+                fence = m[1]
+            elif body:
+                open_text = True
+            continue
+        if m := _FENCE.match(body):
+            fence, open_text = m[1], False
+            out.append("code")
+            continue
+        begins = next((e for b, e in _HTML if b.match(body)), False)
+        if begins is False and not open_text and _LONE_TAG.match(body):
+            begins = None
+        if begins is not False:
+            out.append("html")
+            open_text = False
+            html = False if begins and begins.search(line[line.index("<") + 1 :]) else begins
+            continue
+        if re.match(r"#{1,6}(?:[ \t]|$)", body) or _RULE.match(body) and not (open_text and body[0] == "-"):
+            out.append("head")
+            open_text = False
+        elif open_text and re.fullmatch(r"=+|-+", body):
+            out.append("text")
+            open_text = False
         else:
-            indented = bool(re.match(r"^(?: {4}|\t)", line)) and bool(line.strip()) and (blank or (out and out[-1]))
-            out.append(indented)
-            blank = not line.strip()
+            out.append("text" if open_text else "head")
+            open_text = bool(body)
     return out
 
 
-def without_code_spans(line: str) -> tuple[str, list[str]]:
-    """The line with code spans blanked, and what they hold."""
-    spans: list[str] = []
+def code_lines(lines: list[str]) -> list[bool]:
+    """Which lines belong to fenced or indented code, or to a block of HTML."""
+    return [k in ("code", "html") for k in line_kinds(lines)]
+
+
+_SPAN = re.compile(r"(?<![`\\])(`+)(?!`)(.+?)(?<!`)\1(?!`)", re.S)
+_AUTOLINK = re.compile(r"<[A-Za-z][A-Za-z0-9+.-]{1,31}:[^\s<>]*>")
+_MARK = re.compile(r"\\.|!?\[|\]", re.S)
+_DESTINATION = re.compile(r"\(\s*(?:<((?:[^<>\n\\]|\\.)*)>|((?:[^\s()\\<]|\\.|\((?:[^\s()\\]|\\.|\([^\s()]*\))*\))(?:[^\s()\\]|\\.|\((?:[^\s()\\]|\\.|\([^\s()]*\))*\))*)?)(?:\s+(?:\"(?:[^\"\\]|\\.)*\"|'(?:[^'\\]|\\.)*'|\((?:[^()\\]|\\.)*\)))?\s*\)")
+_LABEL = re.compile(r"\[((?:[^\[\]\\]|\\.)*)\]")
+DEFINITION = re.compile(r"^ {0,3}\[((?:[^\[\]\\]|\\.)+)\]:[ \t]*(?:<([^<>]*)>|(\S+))(?:[ \t]+(?:\"[^\"]*\"|'[^']*'|\([^()]*\)))?[ \t]*$")
+
+
+def without_code_spans(text: str) -> tuple[str, list[tuple[int, str]]]:
+    """The text with code spans and bare URLs blanked, and where spans stand with what they hold."""
+    spans: list[tuple[int, str]] = []
 
     def blank(m):
-        spans.append(m[2].strip())
-        return " " * len(m[0])
+        if m.re is _SPAN:
+            spans.append((m.start(2), m[2].strip()))
+        return re.sub(r"[^\n]", " ", m[0])
 
-    return re.sub(r"(?<!`)(`+)(?!`)(.+?)(?<!`)\1(?!`)", blank, line), spans
+    return _AUTOLINK.sub(blank, _SPAN.sub(blank, text)), spans
 
 
-_LINK = re.compile(r"(?<!\\)\[((?:[^\[\]\\]|\\.|\[[^\[\]]*\])*)\]\(\s*(?:<([^<>\n]*)>|((?:[^\s()\\]|\\.|\((?:[^\s()\\]|\\.)*\))*))(?:\s+(?:\"[^\"]*\"|'[^']*'|\([^)]*\)))?\s*\)")
-_REFERENCE = re.compile(r"(?<!\\)\[([^\[\]]+)\](?:\[([^\[\]]*)\])?(?![\[(:])")
-_DEFINITION = re.compile(r"^ {0,3}\[([^\[\]]+)\]:\s*(?:<([^<>]*)>|(\S+))")
-_WIKI = re.compile(r"\[\[([^\[\]|]+)(?:\|[^\[\]]*)?\]\]")
+def prose(lines: list[str], kinds: list[str]) -> tuple[list[tuple[int, int]], dict[str, str]]:
+    """First and last (end exclusive) line of each block of text, and the destinations of link definitions, which are no text."""
+    found, definitions, i = [], {}, 0
+    while i < len(lines):
+        if kinds[i] not in ("head", "text"):
+            i += 1
+            continue
+        j = i + 1
+        while j < len(lines) and kinds[j] == "text":
+            j += 1
+        while i < j and (m := DEFINITION.match(lines[i])):
+            definitions.setdefault(_label(m[1]), m[2] if m[2] is not None else m[3])
+            i += 1
+        if i < j:
+            found.append((i, j))
+        i = j
+    return found, definitions
+
+
+def _label(text: str) -> str:
+    return " ".join(text.split()).casefold()
+
+
+def inline_links(text: str, definitions: dict[str, str]) -> list[tuple[int, str, tuple[int, int] | None]]:
+    """Start, destination and the destination's place (None: from a definition) of each link in a block of text; images are none.
+
+    Brackets are paired from the inside out; a link's text holds no other link, so the inner of two wins.
+    """
+    out, stack, at = [], [], 0
+    while m := _MARK.search(text, at):
+        at = m.end()
+        if m[0][0] == "\\":
+            continue
+        if m[0] != "]":
+            stack.append([m.start(), m[0][0] == "!", True])
+            continue
+        if not stack:
+            continue
+        start, image, active = stack.pop()
+        if not active:
+            continue
+        place = None
+        if d := _DESTINATION.match(text, at):
+            k = 1 if d[1] is not None else 2
+            to, place, end = d[k] or "", d.span(k), d.end()
+        else:
+            second = _LABEL.match(text, at)
+            label = second[1] if second and second[1].strip() else text[start + (2 if image else 1) : m.start()]
+            to, end = definitions.get(_label(label)), second.end() if second else at
+            if to is None:
+                continue
+        at = end
+        if not image:
+            out.append((start, to, place))
+            for one in stack:
+                one[2] = one[1]  # outer brackets make no link any more, images may
+    return sorted(out, key=lambda x: x[0])
+
+
+WIKI = re.compile(r"\[\[([^\[\]|]+)(?:\|[^\[\]]*)?\]\]")
 
 
 def link_path(target: str, extensions: tuple[str, ...]) -> str | None:
@@ -231,36 +366,38 @@ def read_document(path: str, text: str, rules: Rules) -> Document:
     lines = body.split("\n")
     if lines and lines[-1] == "":
         lines.pop()
-    code = code_lines(lines)
-    made, inferred = identity(path, own, rules, first_heading(lines, code))
+    kinds = line_kinds(lines)
+    made, inferred = identity(path, own, rules, first_heading(lines, [k in ("code", "html") for k in kinds]))
     fields = own | made
     fields["body_hash"] = hashlib.sha256(body.encode()).hexdigest()
     fields["body_lines_hash"] = [hashlib.sha256(x.encode()).hexdigest() for x in lines]
     doc = Document(fields, issues, inferred)
-    definitions = {m[1].strip().lower(): m[2] or m[3] or "" for i, x in enumerate(lines) if not code[i] and (m := _DEFINITION.match(x))}
-    prose = [("", []) if code[i] else without_code_spans(x) for i, x in enumerate(lines)]
-    for n, (line, _) in enumerate(prose, 1):
-        if _DEFINITION.match(line):
-            continue
-        found = [(m.start(), m[2] if m[2] is not None else m[3]) for m in _LINK.finditer(line)]
-        found += [(m.start(), definitions[k]) for m in _REFERENCE.finditer(line) if (k := (m[2] or m[1]).strip().lower()) in definitions]
-        for _, target in sorted(found):
-            if (to := link_path(target or "", rules.extensions)) is not None:
-                doc.raw_edges.append((to, "references", f"L{n}"))
-    for n, (line, spans) in enumerate(prose, 1):
-        found = [(m.start(), m[1].strip(), "references") for m in _WIKI.finditer(line)] if rules.wikilinks else []
+    blocks, definitions = prose(lines, kinds)
+    captured = []
+    for i, j in blocks:
+        shown, spans = without_code_spans("\n".join(lines[i:j]))
+        line_of = lambda at, shown=shown, i=i: i + 1 + shown.count("\n", 0, at)
+        for at, target, _ in inline_links(shown, definitions):
+            if (to := link_path(target, rules.extensions)) is not None:
+                doc.raw_edges.append((to, "references", f"L{line_of(at)}"))
+        if rules.wikilinks:
+            captured += [(i, m.start(1), m[1].strip(), "references", line_of(m.start(1))) for m in WIKI.finditer(shown)]
         for pattern, relation, in_code in rules.link_patterns:
-            found += [(m.start(), m[1], relation) for m in re.finditer(pattern, line)]
-            found += [(len(line), m[1], relation) for x in spans if in_code and (m := re.fullmatch(pattern, x))]
-        doc.raw_edges += [(t.split("#", 1)[0], r, f"L{n}") for _, t, r in sorted(found) if t.split("#", 1)[0]]
-        if code[n - 1]:
+            start = 0
+            for line in shown.split("\n"):
+                captured += [(i, start + m.start(1), m[1].strip(), relation, line_of(start)) for m in re.finditer(pattern, line) if m[1]]
+                start += len(line) + 1
+            captured += [(i, at, m[1].strip(), relation, line_of(at)) for at, x in spans if in_code and (m := re.fullmatch(pattern, x))]
+    doc.raw_edges += [(t, r, f"L{n}") for *_, target, r, n in sorted(captured) if (t := target.split("#", 1)[0])]
+    for n, line in enumerate(lines, 1):
+        if kinds[n - 1] == "code":
             continue
-        for name, pattern, key, kinds in rules.annotations:
-            if not kinds or fields["kind"] in kinds:
-                doc.annotations += [(name, m[key], n) for m in re.finditer(pattern, lines[n - 1]) if m[key] is not None]
-        for name, pattern, kinds in rules.body_lines:
-            if not kinds or fields["kind"] in kinds:
-                doc.body_lines += [(name, n, {k: v for k, v in m.groupdict().items() if v is not None}) for m in re.finditer(pattern, lines[n - 1]) if any(v is not None for v in m.groupdict().values())]
+        for name, pattern, key, of in rules.annotations:
+            if not of or fields["kind"] in of:
+                doc.annotations += [(name, m[key], n) for m in re.finditer(pattern, line) if m[key] is not None]
+        for name, pattern, of in rules.body_lines:
+            if not of or fields["kind"] in of:
+                doc.body_lines += [(name, n, {k: v for k, v in m.groupdict().items() if v is not None}) for m in re.finditer(pattern, line) if any(v is not None for v in m.groupdict().values())]
     for relation in ("supersedes", "implements", "related", "covers"):
         doc.raw_edges += [(x, relation, f"frontmatter:{relation}") for x in fields[relation]]
     return doc

@@ -213,3 +213,20 @@ def test_long_lineages_and_trees_cost_few_rounds(spark):
     assert sorted((r.id, r.region, r.via) for r in walks.cyclic_members(g, "related").collect()) == [("n005", "n005", "n005"), ("n007", "n007", "n008"), ("n008", "n007", "n007")]
     out = walks.dependents(g, "n055").collect()
     assert [(r.id, r.hops, len(r.via)) for r in out] == [(f"n{55 + k:03d}", k, k) for k in range(1, 5)] and out[-1].via[0].source == "n059" and out[-1].via[-1].target == "n055"
+
+
+def test_links_are_those_of_commonmark():
+    edges = lambda body: [(t, at) for t, _, at in read_document("docs/a.md", body, Rules(wikilinks=True)).raw_edges]
+    assert edges("see [a\nb](x.md) and [c [d] e](y.md) ![i](z.md) [![i](z.png)](w.md)\n") == [("x.md", "L1"), ("y.md", "L2"), ("w.md", "L2")]
+    assert edges("- item\n\n    [yes](l.md)\n\n        [no](k.md)\n\n<div>\n[no](h.md)\n</div>\n\n`a\n[no](s.md)` z\n") == [("l.md", "L3")]
+    assert edges("[r][L] [L] [q][] [none][x]\n[[wiki#x|t]] `[[no]]`\n\n[l]: <d.md> 'x'\n[Q]: q.md\n[l]: other.md\n") == [("d.md", "L1"), ("d.md", "L1"), ("q.md", "L1"), ("wiki", "L2")]
+    assert edges("```\n[a](b.md)\n~~~\n```\n> [q](q.md)\n\n1. ```\n   [n](n.md)\n   ```\n   [y](y.md)\n") == [("q.md", "L5"), ("y.md", "L10")]
+    assert edges("<!-- [c](c.md)\n[c](d.md) -->\n[e](e.md#f) [u](http://x/y.md) <http://a/[b](c.md)> \\[x](esc.md)\n[(a)](p(1).md \"t\") [o [i](in.md)](out.md)") == [("e.md", "L3"), ("p(1).md", "L4"), ("in.md", "L4")]
+    assert edges("para\n    [still text](t.md)\n\n    [code](c.md)\n") == [("t.md", "L2")] and edges("[" * 3000 + "](x.md)" * 3) == [("x.md", "L1")]
+
+
+def test_rewriting_follows_links_over_lines_and_definitions():
+    from quillgraph.mutate import _rewritten
+
+    text = "---\nid: a\n---\n[a\nb](old.md#x) [r] `[c](old.md)` [[old.md]]\n\n[r]: old.md 'T'\n"
+    assert _rewritten(text, lambda t: "new.md" if t == "old.md" else None) == text.replace("(old.md#x)", "(new.md#x)").replace("[[old.md]]", "[[new.md]]").replace("[r]: old.md", "[r]: new.md")

@@ -106,7 +106,7 @@ def test_command_line(spark, tmp_path, capsys):
     assert issues["summary"]["by_category"]["violation_required_field"] == 2 and {x["raw_target"] for x in issues["unresolved_edges"]} == {"x", "y"}
     assert ask("query", "nodes", "--where", "id=a", "--fields", "id,status", "--limit", "1")[1]["data"] == {"items": [{"id": "a", "status": "active"}], "total": 1, "returned": 1}
     assert "[b](b.md)" in ask("query", "node", "a", "--with-body")[1]["data"]["items"][0]["body"]
-    for wrong, why in ((("query", "node", "zz"), "NOT_FOUND"), (("query", "nodes", "--kind", "zz"), "USAGE"), (("query", "nodes", "--tag", "a,,b"), "USAGE"), (("query", "stale", "--limit", "0"), "USAGE"), (("query", "similar"), "USAGE"), (("lifecycle", "set", "docs/a.md", "zz"), "CONFIG"), (("scaffold", "adr", "New"), "GATE")):
+    for wrong, why in ((("query", "node", "zz"), "NOT_FOUND"), (("query", "nodes", "--kind", "zz"), "USAGE"), (("query", "nodes", "--tag", "a,,b"), "USAGE"), (("query", "stale", "--limit", "0"), "USAGE"), (("query", "similar"), "USAGE"), (("lifecycle", "set", "docs/a.md", "zz"), "CONFIG"), (("scaffold", "zz", "New"), "USAGE")):
         code, answer = ask(*wrong)
         assert code == 2 and answer["error"]["code"] == why
     assert ask("migrate", "--apply")[1]["data"]["paths"] == ["docs/b.md"] and "id: generic-b" in (tmp_path / "docs/b.md").read_text()
@@ -144,10 +144,13 @@ def test_contract_changes_and_versions():
 
 def test_scaffold_quotes_fills_and_refuses():
     project = config.Project(Settings(today=TODAY, kinds=("adr",), statuses=("active", "superseded"), required=("created", "owner"), cross_field=(("status=superseded", "superseded_by"), ("owner exists", "stage")), enums={"stage": ("early", "late")}), Rules(), (), (), (), "out")
-    made = mutate.scaffold(project, "adr", 'A "quoted" title: with #', {}, TODAY, node_id="adr-x", path="docs/x.md", fields={"status": "superseded"})
+    made = mutate.scaffold(project, "adr", 'A "quoted" title: with #', {}, TODAY, node_id="adr-x", path="docs/x.md", fields={"team": "true"})
     doc = read_document("docs/x.md", made["content"], project.rules)
-    assert doc.fields["title"] == 'A "quoted" title: with #' and doc.fields["id"] == "adr-x" and doc.fields["superseded_by"] == "TODO" and doc.fields["created"] == TODAY
+    assert doc.fields["title"] == 'A "quoted" title: with #' and doc.fields["id"] == "adr-x" and doc.fields["owner"] == "TODO" and doc.fields["created"] == TODAY and json.loads(doc.fields["attrs"]["team"]) == "true"
     assert json.loads(doc.fields["attrs"]["stage"]) == "early" and not doc.issues
+    for fields in ({"status": "superseded"}, {"id": "y"}, {"path": "z"}):
+        with pytest.raises(mutate.Refused):
+            mutate.scaffold(project, "adr", "t", {}, TODAY, fields=fields)
     for bad in ("", " x", "a[b]", "a|b", "x\ny"):
         with pytest.raises(mutate.Refused):
             mutate.retarget(project, [], "a", bad)
