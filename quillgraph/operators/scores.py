@@ -15,13 +15,13 @@ def linkers(g: Graph) -> DataFrame:
     return g.external.select(F.col("target_id").alias("id"), "source").distinct().groupBy("id").agg(F.count("*").alias("linkers"))
 
 
-def drift_targets(g: Graph) -> DataFrame:
+def drift_targets(g: Graph, declared: bool = True) -> DataFrame:
     """id, reviewed, edge_idx, label and path (null: nothing to measure) of each reference whose target's changes count.
 
-    A reference without a document counts for the first file or folder, of those it was looked up under, that exists.
+    ``declared`` asks for documents with a review date, else those without. A reference without a document counts for the first file or folder, of those it was looked up under, that exists.
     """
     s = g.settings
-    live = g.nodes.where(~F.col("status").isin(*s.terminal) & F.col("reviewed").isNotNull()).select(F.col("id").alias("source"), F.col("path").alias("source_path"), "reviewed")
+    live = g.nodes.where(~F.col("status").isin(*s.terminal) & F.col("reviewed").isNotNull() == F.lit(declared)).select(F.col("id").alias("source"), F.col("path").alias("source_path"), "reviewed")
     edges = g.edges.where(F.col("relation").isin(*s.drift_relations)).join(live, "source")
     to = g.nodes.select(F.col("id").alias("target_id"), F.col("path").alias("target_path"))
     bound = edges.where("target_id IS NOT NULL").join(to, "target_id", "left").select("source", "reviewed", "edge_idx", F.col("target_id").alias("label"), F.col("target_path").alias("path"))
@@ -62,9 +62,10 @@ def drift(g: Graph) -> DataFrame:
 
 
 def trust(g: Graph) -> DataFrame:
-    """Every node's score and its parts; a part is null where it doesn't apply or isn't declared.
+    """Every node's score, its parts, and the names of those undeclared; a part is null where it doesn't apply or isn't declared.
 
-    A positively weighted part that a live document ought to declare but doesn't (its review date) leaves no score.
+    A positively weighted part that a live document ought to declare but doesn't (its review date) leaves no score: freshness
+    where there is a horizon, drift where there are changes to count from it.
     """
     s = g.settings
     rows = g.nodes.select(*REF, "reviewed").join(linkers(g), "id", "left").withColumn("linkers", F.coalesce("linkers", F.lit(0)))
@@ -79,11 +80,14 @@ def trust(g: Graph) -> DataFrame:
     undeclared = ~terminal & F.col("reviewed").isNull()
     if s.drift_threshold and g.commits is not None:
         rows = rows.join(drift(g).where("measured > 0").select("id", "commits"), "id", "left")
+        asked = drift_targets(g, declared=False).where("path IS NOT NULL").select("id", F.lit(True).alias("moves")).distinct()
+        rows = rows.join(asked, "id", "left").withColumn("moves", F.coalesce("moves", F.lit(False)))
         moved = F.when(~terminal & F.col("commits").isNotNull(), unit(F.lit(1.0) - F.col("commits") / F.lit(float(s.drift_threshold))))
     else:
-        moved = F.lit(None).cast("double")
+        rows, moved = rows.withColumn("moves", F.lit(False)), F.lit(None).cast("double")
     w = {k: _weight(s, k) for k in ("status", "freshness", "drift", "backlinks")}
-    rows = rows.select(*REF, status.alias("status_score"), fresh.alias("freshness"), moved.alias("drift"), back.alias("backlinks"), (undeclared & F.lit(s.stale_days is not None) & (w["freshness"] > 0)).alias("undeclared"))
+    rows = rows.select(*REF, status.alias("status_score"), fresh.alias("freshness"), moved.alias("drift"), back.alias("backlinks"), F.filter(F.array(*[F.when(undeclared & on & (w[k] > 0), F.lit(k)) for k, on in (("freshness", F.lit(s.stale_days is not None)), ("drift", F.col("moves")))]), lambda x: x.isNotNull()).alias("undeclared_parts"))
+    rows = rows.withColumn("undeclared", F.size("undeclared_parts") > 0)
     mean = weighted_mean([(w[k], F.col("status_score" if k == "status" else k)) for k in w])
     return rows.withColumn("score", F.when(~F.col("undeclared"), mean))
 

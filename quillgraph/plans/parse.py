@@ -21,7 +21,7 @@ class ParseError(ValueError):
     """A file that yields no document."""
 
 
-class _Loader(yaml.SafeLoader):
+class _Loader(getattr(yaml, "CSafeLoader", yaml.SafeLoader)):
     """YAML with null, true/false and numbers alone resolved, and repeated keys refused."""
 
 

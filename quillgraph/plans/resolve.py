@@ -70,5 +70,5 @@ def canonical(edges: DataFrame) -> DataFrame:
     from quillgraph.operators.walks import numbered
 
     kept = first_of(edges, ["source", "target_id", "target_raw", "relation"], ["ordinal"])
-    order = [F.col(c) for c in ("source", "relation", "location", "ordinal")]
+    order = [F.col(c) for c in ("source", "relation", "location", "ordinal", "target_id")]  # successions said by several documents tie but for these
     return numbered(kept, order, "edge_idx").select("edge_idx", "source", "target_id", "target_raw", "cause", "relation", "location")

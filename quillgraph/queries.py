@@ -35,8 +35,8 @@ def _no_drift(g: Graph) -> Graph:
     return dataclasses.replace(g, commits=None)
 
 
-def _trust_columns(df: DataFrame) -> DataFrame:
-    return df.select("id", "kind", "status", F.round("status_score", 6).alias("status_score"), F.round("freshness", 6).alias("freshness"), F.round("backlinks", 6).alias("backlinks"), F.round("score", 6).alias("score"))
+def _trust_columns(df: DataFrame, *more) -> DataFrame:
+    return df.select(*more, "id", "kind", "status", F.round("status_score", 6).alias("status_score"), F.round("freshness", 6).alias("freshness"), F.round("backlinks", 6).alias("backlinks"), F.round("score", 6).alias("score"))
 
 
 _TRUST_COLUMNS = "id, kind, status, round(st, 6) AS status_score, round(fr, 6) AS freshness, round(ba, 6) AS backlinks, round(score, 6) AS score"
@@ -160,14 +160,40 @@ def q11_drift(spark, sf):
     return scores.drift(g).select("id", "commits")
 
 
+@_query("q11_trust_drift", f"""{_TRUST},
+moved AS (SELECT 'order-' || o_orderkey AS id, count(ev.d) AS commits FROM orders LEFT JOIN (SELECT user_id, ts::DATE AS d FROM events) ev ON ev.user_id = o_custkey AND ev.d > o_orderdate::DATE + (o_orderkey % 90)::INTEGER
+  WHERE o_orderstatus = 'O' GROUP BY o_orderkey),
+scored AS (SELECT trust.*, CASE WHEN commits IS NOT NULL THEN greatest(0e0, least(1e0, 1e0 - commits::DOUBLE / 50e0)) END AS dr FROM trust LEFT JOIN moved USING (id))
+SELECT {_TRUST_COLUMNS.replace("round(score, 6) AS score", "round(dr, 6) AS drift")},
+  round(CASE WHEN score IS NOT NULL THEN greatest(0e0, least(1e0, (st * 4e-1 + coalesce(fr * 3e-1, 0e0) + coalesce(dr * 2e-1, 0e0) + coalesce(ba * 1e-1, 0e0)) / (4e-1 + CASE WHEN fr IS NULL THEN 0e0 ELSE 3e-1 END + CASE WHEN dr IS NULL THEN 0e0 ELSE 2e-1 END + CASE WHEN ba IS NULL THEN 0e0 ELSE 1e-1 END))) END, 6) AS score,
+  CASE WHEN score IS NULL THEN CASE WHEN kind = 'order' THEN 'freshness,drift' ELSE 'freshness' END ELSE '' END AS undeclared_parts FROM scored""")
+def q11_trust_drift(spark, sf):
+    """Trust with all four parts: changes to the customer of an open order since its review count against it."""
+    g = view.graph(spark, sf)
+    g = dataclasses.replace(g, settings=dataclasses.replace(g.settings, drift_threshold=50, drift_relations=("implements",)))
+    rows = scores.trust(g)
+    return _trust_columns(rows.withColumn("_d", F.round("drift", 6)), F.col("_d").alias("drift"), F.array_join("undeclared_parts", ",").alias("undeclared_parts"))
+
+
 @_query("q12_components", """
+q AS (SELECT source AS a, target_id AS b FROM edges UNION ALL SELECT target_id, source FROM edges),
+walk(id) AS (SELECT 'region-0' UNION SELECT b FROM walk JOIN q ON a = id),
+all_of AS (SELECT id, CASE WHEN id IN (SELECT id FROM walk) THEN 'reached' WHEN id NOT IN (SELECT a FROM q) THEN id ELSE error('a second component') END AS c FROM nodes),
+sizes AS (SELECT c, count(*) AS size, min(id) AS least FROM all_of GROUP BY c)
+SELECT dense_rank() OVER (ORDER BY size DESC, least) AS component_id, size, id FROM all_of JOIN sizes USING (c)""")
+def q12_components(spark, sf):
+    """Over all relations: one component that holds the first region, and parts that nobody ordered."""
+    return walks.components(view.graph(spark, sf))
+
+
+@_query("q12_components_related", """
 q AS (SELECT 'customer-' || c_custkey AS id, n_regionkey AS r FROM customer JOIN nation ON n_nationkey = c_nationkey UNION ALL SELECT 'supplier-' || s_suppkey, n_regionkey FROM supplier JOIN nation ON n_nationkey = s_nationkey
   UNION ALL SELECT 'nation-' || n_nationkey, n_regionkey FROM nation UNION ALL SELECT 'region-' || r_regionkey, r_regionkey FROM region),
 all_of AS (SELECT id, 'r' || r AS c FROM q UNION ALL SELECT id, id FROM nodes WHERE kind IN ('part', 'order')),
 sizes AS (SELECT c, count(*) AS size, min(id) AS least FROM all_of GROUP BY c)
 SELECT dense_rank() OVER (ORDER BY size DESC, least) AS component_id, size, id FROM all_of JOIN sizes USING (c)""")
-def q12_components(spark, sf):
-    return walks.components(view.graph(spark, sf, ("related",)))
+def q12_components_related(spark, sf):
+    return walks.components(view.graph(spark, sf), ("related",))
 
 
 @_query("q13_neighborhood", f"""

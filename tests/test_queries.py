@@ -3,11 +3,13 @@
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
-from quillgraph import operator_queries, queries
+from quillgraph import etl_queries, operator_queries, queries
 
-QUERIES, SQL = {**queries.QUERIES, **operator_queries.QUERIES}, {**queries.SQL, **operator_queries.SQL}
+QUERIES = queries.QUERIES | operator_queries.QUERIES | etl_queries.QUERIES
+SQL = queries.SQL | operator_queries.SQL | etl_queries.SQL
 
 SF = "/root/testdata/sf0.001"
 
@@ -16,7 +18,7 @@ def rows(df, columns):
     for c in df.columns:
         if df[c].dtype.kind == "M":
             df[c] = df[c].dt.date
-    return sorted(str(tuple(None if x != x else x for x in r)) for r in df[columns].astype(object).itertuples(index=False, name=None))
+    return sorted(str(tuple(None if pd.isna(x) else x for x in r)) for r in df[columns].astype(object).itertuples(index=False, name=None))
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="needs the driver's tables")
