@@ -86,8 +86,9 @@ def rake(tokens: np.ndarray, cells: list[tuple[str, ...]], targets: list[dict[st
 
 
 def _class(column, names: dict[str, float]):
-    """The value, or ``other`` for null and values without a target."""
-    return F.when(column.isin([x for x in names if x != OTHER]), column).otherwise(F.lit(OTHER))
+    """The value, or ``other`` for null and values without a target; the column is evaluated once."""
+    known = [x for x in names if x != OTHER]
+    return F.element_at(F.transform(F.array(column), lambda x: F.when(x.isin(known), x).otherwise(F.lit(OTHER))), 1)
 
 
 def _cells(docs: DataFrame, targets: dict[str, dict[str, float]], topic: str) -> list:
