@@ -11,9 +11,10 @@ A document's set is its distinct word shingles, hashed once to 64 bits; its sket
    paired with three pivots of the list; so a group of near copies falls into one component with a few comparisons each.
 4. The union sketch of a listed pair estimates its similarity; pairs clearly below the threshold go.
 5. The others are confirmed on their full sets, read again from the text of the documents concerned, and make components.
-6. Members of a long list that lie in different components then are compared, and only these: in blocks inside tasks, first
-   by sketches, then those whose sketches agree by full sets of like size, breadth first from component to component.
-   Blocks are bounded in members and in values, and no block meets another of the list's largest component alone.
+6. Lists with the same first member become one. Members that lie in different components then are compared, and only
+   these: in blocks inside tasks, first by sketches, then those whose sketches agree by full sets of like size, breadth
+   first from component to component. Blocks are bounded in members and in values, and no two blocks of the list's largest
+   component meet.
 7. All confirmed links make the final components, named after their least doc_id.
 
 So a list of M members costs M times those outside its largest component, not M squared; only lists of many texts that
@@ -50,7 +51,7 @@ POOL = 24
 LISTED = 12
 LIST_ROWS = 32
 #: Members and values of a block of a long list, at most (one set, if it alone has more values).
-BLOCK = 512
+BLOCK = 1024
 BLOCK_VALUES = 1 << 20
 
 
@@ -161,15 +162,18 @@ def _without(left: np.ndarray, flat: np.ndarray, start: np.ndarray, gone: np.nda
 
 
 def _runs(marked: DataFrame, percent: int) -> DataFrame:
-    """(key, node, n, few, total): classes with a sketch under its runs of three values (and of two in the smallest sets)
-    that ``total`` classes have, with 16 bits of each value."""
+    """(key, node, total): classes with a sketch under its runs of three values (and of two in the smallest sets) that
+    ``total`` classes have."""
     run = lambda k: f"transform(sequence(1, size(sketch) - {k - 1}), i -> xxhash64({', '.join(f'sketch[i + {j}]' for j in range(-1, k - 1))}))"
     keys = F.expr(f"CASE WHEN size(sketch) <= {-(-percent // max(1, 100 - percent)) + 1} THEN concat({run(3)}, {run(2)}) ELSE {run(3)} END")
-    held = marked.where("size(sketch) > 2")
-    rows = held.select("node", F.explode(F.array_distinct(keys)).alias("key"))
+    rows = marked.where("size(sketch) > 2").select("node", F.explode(F.array_distinct(keys)).alias("key"))
     counts = rows.groupBy("key").agg(F.count("*").alias("total")).where("total > 1")
-    short = held.select("node", "n", F.expr("transform(sketch, v -> CAST((v & 65535) - 32768 AS SMALLINT))").alias("few"))
-    return rows.join(counts, "key").join(short, "node").select("key", "node", "n", "few", "total")
+    return rows.join(counts, "key").select("key", "node", "total")
+
+
+def _brief(marked: DataFrame) -> DataFrame:
+    """(node, n, few): 16 bits of each sketch value."""
+    return marked.where("size(sketch) > 2").select("node", "n", F.expr("transform(sketch, v -> CAST((v & 65535) - 32768 AS SMALLINT))").alias("few"))
 
 
 def _agreement(percent: int) -> str:
@@ -178,13 +182,22 @@ def _agreement(percent: int) -> str:
     return f"size(array_intersect(x.few, y.few)) >= {per} * greatest(size(x.few), size(y.few)) - {root} * sqrt(greatest(size(x.few), size(y.few))) - 1"
 
 
-def _pivoted(long: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of each member of a long list with three pivots of it (two at random, and the smallest set), if they may link."""
+def _merged(lists: DataFrame) -> DataFrame:
+    """Long lists (key, node, label) that hold several components, those with the same first member made one, under its name.
+
+    Near copies share most of their runs, so their lists have the same members over and over; a member has some thirty lists
+    at most, which bounds what becomes one.
+    """
+    heads = lists.groupBy("key").agg(F.min_by("node", F.xxhash64("node")).alias("head"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi")
+    return lists.join(heads.select("key", "head"), "key").select(F.col("head").alias("key"), "node", "label").distinct()
+
+
+def _pivoted(long: DataFrame, brief: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of each member of a long list with three pivots of it, the same ones whatever the list, if they may link."""
     h = F.xxhash64("node")
-    pivots = long.groupBy("key").agg(F.min_by("node", h).alias("p1"), F.max_by("node", h).alias("p2"), F.min_by("node", F.col("n") * (1 << 20) + h.bitwiseAND((1 << 20) - 1)).alias("p3"))
+    pivots = long.groupBy("key").agg(F.min_by("node", h).alias("p1"), F.max_by("node", h).alias("p2"), F.min_by("node", F.xxhash64(F.lit(7), "node")).alias("p3"))
     pairs_of = long.select("key", "node").join(pivots, "key").select("node", F.explode(F.array_distinct(F.array("p1", "p2", "p3"))).alias("pivot")).where("node != pivot").distinct()
-    side = long.dropDuplicates(["node"])
-    of = lambda c: side.select(F.col("node").alias("node" if c == "x" else "pivot"), F.struct("n", "few").alias(c))
+    of = lambda c: brief.select(F.col("node").alias("node" if c == "x" else "pivot"), F.struct("n", "few").alias(c))
     both = pairs_of.join(of("x"), "node").join(of("y"), "pivot").where(f"100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)").where(_agreement(percent))
     return both.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b"))
 
@@ -229,9 +242,12 @@ def _alike(long: DataFrame, percent: int) -> DataFrame:
 
 
 def _dense_links(alike: DataFrame, full: DataFrame, percent: int) -> DataFrame:
-    """Confirmed links (a, b) between different components in the lists of ``alike``, dealt also by size: sets of like size meet."""
+    """Confirmed links (a, b) between different components in the lists of ``alike``; those that don't fit in one block are
+    dealt also by size, as only sets of like size can link."""
     band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent))) if percent < 100 else F.col("n")
-    rows = alike.withColumn("band", F.explode(F.array(band.cast("long"), band.cast("long") + 1)))
+    fits = alike.groupBy("key").agg(((F.count("*") <= BLOCK) & (F.sum("n") <= BLOCK_VALUES)).alias("fits"))
+    bands = F.when(F.col("fits"), F.array(F.lit(-1).cast("long"))).otherwise(F.array(band.cast("long"), band.cast("long") + 1))
+    rows = alike.join(fits, "key").withColumn("band", F.explode(bands)).drop("fits")
 
     def search(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("node", ignore_index=True)
@@ -291,9 +307,9 @@ def groups(docs: DataFrame, size: int = 5, percent: int = 80, k: int = SKETCH, s
     large = classes.where(f"n >= {-(-percent // max(1, 100 - percent))}")  # smaller sets have no other set near enough
     marked = scratch.keep(_marked(large.select("node", "n", "sketch"), scratch), "marked")
     own_pairs = _pairs_of_lists(marked.select("node", "n", "few", F.explode("keys").alias("key")), percent)
-    runs = scratch.keep(_runs(marked, percent), "runs")
-    short, long = runs.where(f"total <= {LIST_ROWS}"), runs.where(f"total > {LIST_ROWS}").drop("total")
-    listed = own_pairs.union(_pairs_of_lists(short, percent, _agreement(percent))).union(_pivoted(long, percent)).distinct()
+    runs, brief = scratch.keep(_runs(marked, percent), "runs"), _brief(marked)
+    short, long = runs.where(f"total <= {LIST_ROWS}").join(brief, "node"), runs.where(f"total > {LIST_ROWS}").drop("total")
+    listed = own_pairs.union(_pairs_of_lists(short, percent, _agreement(percent))).union(_pivoted(long, brief, percent)).distinct()
     likely = scratch.keep(_estimated(listed, classes, k, percent), "likely")
 
     key_of = classes.select("node", "rep", "set_key")
@@ -303,8 +319,9 @@ def groups(docs: DataFrame, size: int = 5, percent: int = 80, k: int = SKETCH, s
     steps = Scratch(spark, "components")
     found = scratch.keep(components(links, steps), "found")
 
-    labelled = long.join(found.withColumnRenamed("component", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
-    alike = scratch.keep(_alike(labelled, percent), "alike")
+    labelled = long.join(found.withColumnRenamed("component", "label"), "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
+    lists = scratch.keep(_merged(labelled), "lists")
+    alike = scratch.keep(_alike(lists.join(brief, "node"), percent), "alike")
     if not alike.isEmpty():
         more = scratch.keep(key_of.join(alike.select("node").distinct(), "node").join(wanted.select("node"), "node", "left_anti"), "more")
         rest = scratch.keep(_full_sets(more, docs, size), "rest")
@@ -312,7 +329,7 @@ def groups(docs: DataFrame, size: int = 5, percent: int = 80, k: int = SKETCH, s
         if not dense.isEmpty():
             found = scratch.keep(components(found.selectExpr("node AS a", "component AS b").union(dense), steps), "merged")
     steps.drop()
-    scratch.drop("values", "marked", "runs", "likely", "wanted", "full", "links", "alike", "more", "rest", "dense")
+    scratch.drop("values", "marked", "runs", "likely", "wanted", "full", "links", "lists", "alike", "more", "rest", "dense")
 
     members = found.join(classes.select("node", "rep"), "node")
     least = members.groupBy("component").agg(F.min("rep").alias("least"))
