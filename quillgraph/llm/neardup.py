@@ -162,13 +162,15 @@ def _without(left: np.ndarray, flat: np.ndarray, start: np.ndarray, gone: np.nda
 
 
 def _runs(marked: DataFrame, percent: int) -> DataFrame:
-    """(key, node, total): classes with a sketch under its runs of three values (and of two in the smallest sets) that
-    ``total`` classes have."""
+    """(key, node, total, p1, p2, p3): classes with a sketch under its runs of three values (and of two in the smallest sets)
+    that ``total`` classes have, and three pivots of each list, chosen by hashes of the members."""
     run = lambda k: f"transform(sequence(1, size(sketch) - {k - 1}), i -> xxhash64({', '.join(f'sketch[i + {j}]' for j in range(-1, k - 1))}))"
     keys = F.expr(f"CASE WHEN size(sketch) <= {-(-percent // max(1, 100 - percent)) + 1} THEN concat({run(3)}, {run(2)}) ELSE {run(3)} END")
     rows = marked.where("size(sketch) > 2").select("node", F.explode(F.array_distinct(keys)).alias("key"))
-    counts = rows.groupBy("key").agg(F.count("*").alias("total")).where("total > 1")
-    return rows.join(counts, "key").select("key", "node", "total")
+    h = F.xxhash64("node")
+    pivots = [F.min_by("node", h).alias("p1"), F.max_by("node", h).alias("p2"), F.min_by("node", F.xxhash64(F.lit(7), "node")).alias("p3")]
+    counts = rows.groupBy("key").agg(F.count("*").alias("total"), *pivots).where("total > 1")
+    return rows.join(counts, "key").select("key", "node", "total", "p1", "p2", "p3")
 
 
 def _brief(marked: DataFrame) -> DataFrame:
@@ -183,20 +185,17 @@ def _agreement(percent: int) -> str:
 
 
 def _merged(lists: DataFrame) -> DataFrame:
-    """Long lists (key, node, label) that hold several components, those with the same first member made one, under its name.
+    """Long lists (p1, node, label) as (key, node, label): those with the same first member made one, under its name.
 
     Near copies share most of their runs, so their lists have the same members over and over; a member has some thirty lists
     at most, which bounds what becomes one.
     """
-    heads = lists.groupBy("key").agg(F.min_by("node", F.xxhash64("node")).alias("head"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi")
-    return lists.join(heads.select("key", "head"), "key").select(F.col("head").alias("key"), "node", "label").distinct()
+    return lists.select(F.col("p1").alias("key"), "node", "label").distinct()
 
 
 def _pivoted(long: DataFrame, brief: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of each member of a long list with three pivots of it, the same ones whatever the list, if they may link."""
-    h = F.xxhash64("node")
-    pivots = long.groupBy("key").agg(F.min_by("node", h).alias("p1"), F.max_by("node", h).alias("p2"), F.min_by("node", F.xxhash64(F.lit(7), "node")).alias("p3"))
-    pairs_of = long.select("key", "node").join(pivots, "key").select("node", F.explode(F.array_distinct(F.array("p1", "p2", "p3"))).alias("pivot")).where("node != pivot").distinct()
+    pairs_of = long.select("node", F.explode(F.array_distinct(F.array("p1", "p2", "p3"))).alias("pivot")).where("node != pivot").distinct()
     of = lambda c: brief.select(F.col("node").alias("node" if c == "x" else "pivot"), F.struct("n", "few").alias(c))
     both = pairs_of.join(of("x"), "node").join(of("y"), "pivot").where(f"100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)").where(_agreement(percent))
     return both.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b"))
@@ -319,7 +318,7 @@ def groups(docs: DataFrame, size: int = 5, percent: int = 80, k: int = SKETCH, s
     steps = Scratch(spark, "components")
     found = scratch.keep(components(links, steps), "found")
 
-    labelled = long.join(found.withColumnRenamed("component", "label"), "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
+    labelled = long.join(found.withColumnRenamed("component", "label"), "node", "left").select("p1", "node", F.coalesce("label", "node").alias("label"))
     lists = scratch.keep(_merged(labelled), "lists")
     alike = scratch.keep(_alike(lists.join(brief, "node"), percent), "alike")
     if not alike.isEmpty():
@@ -362,10 +361,18 @@ def drop_near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> D
     twice = kept.keep(first.where("c > 1").select("doc_id", "text_key").join(gone, ["doc_id", "text_key"], "left_anti"), "twice")
     scratch.drop()
 
-    key, text_key, number = fresh(docs, "_key", "_text", "_number")
+    # Few rows go, and texts are long: a Bloom filter tells which rows may, and only these are shuffled to be told for certain.
+    held = spark.sparkContext.broadcast(bloom.build(gone.select(F.xxhash64("doc_id", "text_key").alias("k")), "k", gone.count()))
+
+    @F.pandas_udf("boolean")
+    def may_go(keys: pd.Series) -> pd.Series:
+        return pd.Series(held.value.holds(keys.to_numpy()))
+
+    key, text_key, number, flag = fresh(docs, "_key", "_text", "_number", "_flag")
     to = lambda df: df.withColumnsRenamed({"doc_id": key, "text_key": text_key})
     rows = docs.select(*own(docs), F.col("doc_id").cast("long").alias(key), F.xxhash64("text").alias(text_key))  # a null doc_id is in neither table
-    rest = rows.join(to(gone), [key, text_key], "left_anti")
+    rows = rows.withColumn(flag, may_go(F.xxhash64(key, text_key)))
+    rest = rows.where(~F.col(flag)).union(rows.where(flag).join(to(gone), [key, text_key], "left_anti").select(*rows.columns)).drop(flag)
     if not twice.isEmpty():  # equal rows of one identifier
         within = F.row_number().over(Window.partitionBy(key, text_key).orderBy(key))
         once = rest.join(to(twice), [key, text_key], "left_semi").withColumn(number, within).where(F.col(number) == 1).drop(number)
