@@ -372,11 +372,11 @@ def drop_near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> D
     to = lambda df: df.withColumnsRenamed({"doc_id": key, "text_key": text_key})
     rows = docs.select(*own(docs), F.col("doc_id").cast("long").alias(key), F.xxhash64("text").alias(text_key))  # a null doc_id is in neither table
     rows = rows.withColumn(flag, may_go(F.xxhash64(key, text_key)))
-    rest = rows.where(~F.col(flag)).union(rows.where(flag).join(to(gone), [key, text_key], "left_anti").select(*rows.columns)).drop(flag)
+    rest = rows.where(~F.col(flag)).unionByName(rows.where(flag).join(to(gone), [key, text_key], "left_anti")).drop(flag)
     if not twice.isEmpty():  # equal rows of one identifier
         within = F.row_number().over(Window.partitionBy(key, text_key).orderBy(key))
         once = rest.join(to(twice), [key, text_key], "left_semi").withColumn(number, within).where(F.col(number) == 1).drop(number)
-        rest = rest.join(to(twice), [key, text_key], "left_anti").union(once.select(*rest.columns))
+        rest = rest.join(to(twice), [key, text_key], "left_anti").unionByName(once)
     return rest.select(*own(docs))
 
 
