@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import hashlib
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillgraph.functions.columns import days_since
 from quillgraph.model import REF, Graph
 from quillgraph.operators import lookups
-from quillgraph.operators.walks import component_labels, topological
+from quillgraph.operators.walks import _stored, component_labels, topological
 
 
 def gods(g: Graph, limit: int | None = None) -> DataFrame:
@@ -31,15 +32,32 @@ def lineages(g: Graph) -> DataFrame:
     Each lineage is ordered in a task of its own; a lineage is a document's history, not a share of the corpus.
     """
     e = g.edges.where("relation = 'supersedes' AND target_id IS NOT NULL AND source <> target_id").select(F.col("target_id").alias("old"), F.col("source").alias("new"))
+    e = _stored(e)
     labels = component_labels(e.select(F.col("old").alias("a"), F.col("new").alias("b")))
 
-    def order(group):
-        import pandas as pd
-
-        ids = topological(set(group["old"]) | set(group["new"]), list(zip(group["old"], group["new"], strict=True)))
-        return pd.DataFrame({"lineage": group["lineage"].iat[0], "position": range(1, len(ids) + 1), "id": ids})
-
-    return e.join(labels.select(F.col("id").alias("old"), F.col("component").alias("lineage")), "old").groupBy("lineage").applyInPandas(order, "lineage string, position int, id string")
+    def order(batches):
+        """Rows come by lineage; each lineage's are ordered when the next one's begin."""
+        links, done = [], []
+
+        def close():
+            if links:
+                ids = topological({x for link in links for x in link[1:]}, [link[1:] for link in links])
+                done.extend({"lineage": links[0][0], "position": i, "id": x} for i, x in enumerate(ids, 1))
+                links.clear()
+
+        for batch in batches:
+            for row in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                if links and row[0] != links[0][0]:
+                    close()
+                links.append(row)
+            yield pa.RecordBatch.from_pylist(done, schema=out)
+            done.clear()
+        close()
+        yield pa.RecordBatch.from_pylist(done, schema=out)
+
+    out = pa.schema([("lineage", pa.string()), ("position", pa.int32()), ("id", pa.string())])
+    rows = e.join(labels.select(F.col("id").alias("old"), F.col("component").alias("lineage")), "old").select("lineage", "old", "new")
+    return rows.repartition("lineage").sortWithinPartitions("lineage").mapInArrow(order, "lineage string, position int, id string")
 
 
 def _inline(x) -> str:

@@ -53,3 +53,33 @@ def test_plain_frontmatter_reads_as_yaml_reads_it(front, monkeypatch):
     quick = read()
     monkeypatch.setattr(parse, "_plain_fields", lambda front: None)
     assert quick == read()
+
+
+@pytest.mark.parametrize("forest", [3, 40, 2_000_000])
+def test_components_by_contraction_are_those_of_a_search(spark, forest, monkeypatch):
+    import random
+
+    from quillgraph.operators import walks
+
+    monkeypatch.setattr(walks, "FOREST", forest)
+    rnd = random.Random(forest)
+    links = [(f"p{i:03d}", f"p{i + 1:03d}") for i in range(90)] + [(f"s{i}", "hub") for i in range(60)] + [(f"r{rnd.randrange(80)}", f"r{rnd.randrange(80)}") for _ in range(60)] + [("self", "self")]
+    near: dict = {}
+    for a, b in links:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    want = {}
+    for x in sorted(near):
+        todo = [x] if x not in want else []
+        while todo:
+            y = todo.pop()
+            if y not in want:
+                want[y] = x
+                todo += near[y]
+    del want["self"]
+    rnd.shuffle(links)
+    edges = spark.createDataFrame(links, "a string, b string").repartition(4)
+    lone = {x for x in want if near[x] == {x}}
+    assert {r.id: r.component for r in walks.component_labels(edges).collect()} == {k: v for k, v in want.items() if k not in lone}
+    # What a task hands on is a forest: fewer edges than ids, however many came in.
+    assert walks._contracted(spark.range(0, 5000, 1, 1).selectExpr("id % 10 AS a", "(id + 1) % 10 AS b")).count() == 9
