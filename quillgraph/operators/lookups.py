@@ -109,7 +109,8 @@ def orphan_population(g: Graph) -> DataFrame:
 def orphans(g: Graph) -> DataFrame:
     """Live documents past their grace that no other document links to or names as its successor."""
     linked = g.external.select(F.col("target_id").alias("id")).union(g.nodes.where("superseded_by IS NOT NULL AND superseded_by <> id").select(F.col("superseded_by").alias("id")))
-    return orphan_population(g).join(linked, "id", "left_anti").select(*REF, "created").orderBy("id")
+    # Each id once before the join, which would sort as many rows as there are edges otherwise.
+    return orphan_population(g).join(linked.distinct(), "id", "left_anti").select(*REF, "created").orderBy("id")
 
 
 def stale(g: Graph) -> DataFrame:

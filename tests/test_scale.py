@@ -83,3 +83,16 @@ def test_components_by_contraction_are_those_of_a_search(spark, forest, monkeypa
     assert {r.id: r.component for r in walks.component_labels(edges).collect()} == {k: v for k, v in want.items() if k not in lone}
     # What a task hands on is a forest: fewer edges than ids, however many came in.
     assert walks._contracted(spark.range(0, 5000, 1, 1).selectExpr("id % 10 AS a", "(id + 1) % 10 AS b")).count() == 9
+
+
+def test_orphans_join_each_linked_id_once(spark):
+    import datetime as dt
+
+    from quillgraph.model import Graph, Settings
+    from quillgraph.operators import lookups
+
+    nodes = spark.createDataFrame([(x, x, "k", "active", f"{x}.md", None, False, None) for x in "abc"], "id string, title string, kind string, status string, path string, created date, orphan_ok boolean, superseded_by string")
+    edges = spark.createDataFrame([("b", "a", "references"), ("c", "a", "related"), ("c", "a", "references")], "source string, target_id string, relation string")
+    found = lookups.orphans(Graph(nodes, edges, Settings(today=dt.date(2020, 1, 1))))
+    assert [r.id for r in found.collect()] == ["b", "c"]
+    assert "Aggregate" in found._jdf.queryExecution().optimizedPlan().toString()
